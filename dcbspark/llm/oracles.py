@@ -1,13 +1,91 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, by other means than the operators where SQL has them."""
+
+from . import mixing, secrets
 
 _OP1 = r"""
-WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-h AS (SELECT doc_id, sha256(t) AS text_sha256, t FROM d),
+WITH h AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM h GROUP BY t)
-SELECT h.doc_id, g.keep_id, g.group_size, h.doc_id = g.keep_id AS kept, h.text_sha256
+SELECT h.doc_id, g.keep_id, g.group_size, h.doc_id = g.keep_id AS kept, sha256(h.t) AS text_sha256
 FROM h JOIN g ON h.t = g.t
 """
 
+_OP3 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _op4() -> str:
+    found = []
+    for k, (name, pattern) in enumerate(zip(secrets.KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.TOKEN, secrets.ENDPOINT), strict=True)):
+        p = _quoted(pattern)
+        value = f"regexp_extract_all(t, {p}, 2)" if name == "assign" else f"regexp_extract_all(t, {p}, 0)"
+        found.append(f"SELECT r, {k} AS kind, regexp_split_to_array(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS found, {value} AS vals FROM d" + (" WHERE contains(t, 'AKIA')" if k > 2 else ""))
+    base, reach = "kind <= 2", secrets.REACH
+    up, down = "(PARTITION BY r ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "(PARTITION BY r ORDER BY start, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+
+    def near(cond: str) -> str:
+        return f"(coalesce(start - max(CASE WHEN {cond} THEN \"end\" END) OVER {up} <= {reach}, false) OR coalesce(min(CASE WHEN {cond} THEN start END) OVER {down} - \"end\" <= {reach}, false))"
+
+    names = ", ".join(f"'{k}'" for k in secrets.KINDS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+f AS ({" UNION ALL ".join(found)}),
+u AS (SELECT r, kind, unnest(range(1, len(found) + 1)) AS i, gaps, found, vals FROM f WHERE len(found) > 0),
+m AS (SELECT r, kind, i, length(gaps[i]) AS gap, length(found[i]) AS size, length(vals[i]) AS val, found[i] AS txt FROM u),
+e AS (SELECT *, sum(gap + size) OVER (PARTITION BY r, kind ORDER BY i) AS "end" FROM m),
+p AS (SELECT r, kind, ("end" - size) AS start, "end" FROM e
+      WHERE kind IN (1, 2, 4) OR (kind = 0 AND val >= 12) OR (kind = 3 AND regexp_matches(txt, '[A-Z]') AND regexp_matches(txt, '[a-z]') AND regexp_matches(txt, '[0-9]'))),
+s AS (SELECT *, {near("kind = 1")} AS by_access, {near("kind IN (0, 3)")} AS by_secret,
+      coalesce(max(CASE WHEN {base} THEN "end" END) OVER {up} > start, false) OR coalesce(min(CASE WHEN {base} THEN start END) OVER {down} < "end", false) AS covered FROM p),
+n AS (SELECT *, concat_ws(':', ([{names}])[kind + 1], start, "end") AS name, {base} AS b, ((kind = 3 AND by_access) OR (kind = 4 AND by_access AND by_secret)) AND NOT covered AS l FROM s),
+g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+      string_agg(name, ',' ORDER BY start, kind) FILTER (b) AS base, string_agg(name, ',' ORDER BY start, kind) FILTER (b OR l) AS spans FROM n GROUP BY r)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.r = g.r
+"""
+
+
+def _op9() -> str:
+    z = "list_sum(list_transform(totals, lambda x: pow(x / total, {m})))"
+    y = "list_sum(list_transform(totals, lambda x: pow(x / total, {m}) * {m} * ln(x / total)))"
+    holds = f"(ln({z}) - {y} / {z}) >= {mixing.ENTROPY} * ln(len(totals))"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), {_quoted(mixing.WORD)})) AS n_tokens, md5(coalesce(doc_id::VARCHAR, '')) AS md FROM documents
+), h AS (SELECT *, ('0x' || md[1:15])::BIGINT AS hh, ('0x' || md[17:31])::BIGINT AS gg FROM d),
+sums AS (SELECT src, sum(n_tokens)::BIGINT AS t FROM h GROUP BY src),
+one AS (SELECT list(t::DOUBLE ORDER BY t) AS totals, sum(t)::DOUBLE AS total FROM sums WHERE t > 0),
+bis AS (
+  SELECT 0 AS i, 0::DOUBLE AS lo, 1::DOUBLE AS hi, totals, total FROM one
+  UNION ALL
+  SELECT i + 1, CASE WHEN {holds.format(m="((lo + hi) / 2)")} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {holds.format(m="((lo + hi) / 2)")} THEN hi ELSE (lo + hi) / 2 END, totals, total
+  FROM bis WHERE i < {mixing.HALVINGS}
+), al AS (SELECT total, totals, CASE WHEN {holds.format(m="1.0")} THEN 1.0 ELSE lo END AS a FROM bis WHERE i = {mixing.HALVINGS}),
+w AS (SELECT src, t, round(pow(t / total, a) / {z.format(m="a")}, 9) AS weight, total FROM sums, al WHERE t > 0),
+q AS (SELECT src, t, weight, floor(weight * total)::BIGINT AS quota, ceil(t / {mixing.BLOCK_TOKENS}.0)::BIGINT AS blocks FROM w),
+s AS (SELECT *, quota // t AS passes, quota % t AS rest FROM q),
+r AS (SELECT h.*, s.weight, s.passes, s.rest, ((h.hh % s.blocks) * {mixing.STRIDE} + 104729) % s.blocks AS place FROM h JOIN s USING (src)),
+c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY src ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS to_block,
+             sum(n_tokens) OVER (PARTITION BY src ORDER BY place, gg RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS to_doc,
+             min(CASE WHEN true THEN place END) OVER (PARTITION BY src) AS least FROM r),
+k AS (SELECT src, min(place) AS cut FROM c WHERE to_block > rest GROUP BY src)
+SELECT c.doc_id, c.source, c.n_tokens::BIGINT AS n_tokens, c.weight, c.place, (c.passes + CASE WHEN c.place < k.cut OR (c.place = k.cut AND c.to_doc <= c.rest) THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM c LEFT JOIN k USING (src)
+UNION ALL
+SELECT h.doc_id, h.source, h.n_tokens::BIGINT, 0.0::DOUBLE, 0::BIGINT, 1::BIGINT FROM h JOIN sums USING (src) WHERE sums.t = 0
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1}
+    return {"op1_exact_dedup": _OP1, "op3_maxscore": _OP3, "op4_secret_scan": _op4(), "op9_mixing": _op9()}
