@@ -1,7 +1,7 @@
 """Exact deduplication by content sort.
 
 Rows are range-partitioned by sampled splitters over (first bytes of the normalised text, SHA-256 of it, id), each partition
-is sorted externally so that equal texts lie side by side, and every text is compared in full with its neighbour. The id is
+is sorted externally so that equal texts lie side by side, and every normalised text is compared in full with its neighbour. The id is
 part of the splitters, so a text that holds a third of all rows is cut over many partitions; what the cuts separate is put
 together again from two rows a partition. Splitters hold at most ``PREFIX`` + 40 bytes, however long the texts are.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -27,60 +28,88 @@ from .common import materialise
 #: Bytes of the normalised text that lead the sort key.
 PREFIX = 24
 
-_NORMAL = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lead", T.BinaryType()), T.StructField("digest", T.BinaryType())])
-_RUNS = T.StructType(
-    [T.StructField(n, t) for n, t in (("id", T.LongType()), ("digest", T.BinaryType()), ("part", T.IntegerType()), ("run", T.LongType()), ("nth", T.LongType()), ("edge", T.StringType()))]
-)
+_MARKS = [T.StructField(n, t) for n, t in (("__part", T.IntegerType()), ("__run", T.LongType()), ("__nth", T.LongType()), ("__edge", T.StringType()))]
 
 
-def _normalised(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _normal(text: pa.Array) -> pa.Array:
+    return pc.ascii_lower(pc.fill_null(text.cast(pa.string()), ""))
+
+
+def _keyed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the sort key: the first bytes of the normalised text and the digest of all of it."""
     for batch in rows:
-        text = pc.ascii_lower(pc.fill_null(batch.column("text"), "")).cast(pa.string())
-        raw = text.cast(pa.binary())
+        raw = _normal(batch.column("__text")).cast(pa.binary())
         digest = pa.array([hashlib.sha256(v.as_buffer()).digest() for v in raw], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), text, pc.binary_slice(raw, 0, PREFIX), digest], names=["id", "text", "lead", "digest"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pc.binary_slice(raw, 0, PREFIX), digest], names=[*batch.schema.names, "__lead", "__digest"])
 
 
-def _runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the runs of equal neighbours in a sorted partition.
+def _runs(columns: list[str], heads: bool):
+    """Number the runs of equal neighbours in a sorted partition and keep ``columns``; of a run only its head, if so asked.
 
-    The first row of the partition's first run and of its last run carry the text in ``edge``. The last run is known only
-    at the end, so one row, the first of the run that is still open, is held back.
+    The heads of the partition's first and last run carry the text in ``__edge``. Which run is the last is known only at
+    the end, so the newest head is held back.
     """
-    from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId()
-    last, run, nth, open_row = None, -1, 0, None
-    names = [f.name for f in _RUNS]
-    types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def out(cols: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        part, last, count, nth, held = TaskContext.get().partitionId(), None, 0, 0, None
 
-    for batch in rows:
-        text, ids, digests = batch.column("text").cast(pa.string()), batch.column("id").to_pylist(), batch.column("digest").to_pylist()
-        n = len(ids)
-        if not n:
-            continue
-        same = [text[0].as_py() == last if run >= 0 else False, *pc.equal(text[1:], text[:-1]).to_pylist()]
-        cols: list[list] = [[] for _ in names]
-        for i in range(n):
-            if same[i]:
-                nth += 1
-                row = (ids[i], digests[i], part, run, nth, None)
-            else:
-                if open_row is not None:
-                    for c, v in zip(cols, open_row[:5] + ((open_row[5],) if open_row[3] == 0 else (None,)), strict=True):
-                        c.append(v)
-                run, nth = run + 1, 0
-                open_row = (ids[i], digests[i], part, run, 0, text[i].as_py())
+        def out(batch: pa.RecordBatch, run_no, place, edge) -> pa.RecordBatch:
+            n = batch.num_rows
+            marks = [pa.array([part] * n, pa.int32()), pa.array(run_no, pa.int64()), pa.array(place, pa.int64()), pa.array(edge, pa.string())]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *marks], names=[*columns, *(f.name for f in _MARKS)])
+
+        for batch in rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            for c, v in zip(cols, row, strict=True):
-                c.append(v)
-        last = text[n - 1].as_py()
-        yield out(cols)
-    if open_row is not None:
-        yield out([[v] for v in open_row])
+            text = _normal(batch.column("__text"))
+            new = np.ones(n, bool)
+            new[1:] = np.asarray(pc.not_equal(text[1:], text[:-1]))
+            new[0] = not count or text[0].as_py() != last
+            run_no = count - 1 + np.cumsum(new)
+            starts = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            place = np.where(starts < 0, nth + 1 + np.arange(n), np.arange(n) - starts)
+            newest = int(starts[-1])
+            if newest >= 0 and held is not None:  # a later head: the one held back is an edge only if it is the first
+                yield out(held[0], [held[1]], [0], [held[2] if held[1] == 0 else None])
+            if newest >= 0:
+                held = (batch.slice(newest, 1), int(run_no[newest]), text[newest].as_py())
+            edge = [text[0].as_py() if run_no[0] == 0 and place[0] == 0 else None] + [None] * (n - 1)
+            take = new.copy() if heads else np.ones(n, bool)
+            if newest >= 0:
+                take[newest] = False
+            if take.any():
+                keep = pa.array(take)
+                yield out(batch.filter(keep), run_no[take], place[take], pa.array(edge, pa.string()).filter(keep))
+            count, nth, last = int(run_no[-1]) + 1, int(place[-1]), text[n - 1].as_py()
+        if held is not None:
+            yield out(held[0], [held[1]], [0], [held[2]])
+
+    return run
+
+
+def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, carry: list[str], heads: bool, keep: str, partitions: int | None) -> DataFrame:
+    """Written rows in runs: carried columns, __id and __digest, and the run's marks."""
+    spark = docs.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in carry), F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    keyed = rows.mapInArrow(_keyed, T.StructType([*rows.schema.fields, T.StructField("__lead", T.BinaryType()), T.StructField("__digest", T.BinaryType())]))
+    rank = F.col("__id").asc_nulls_first() if keep == "smallest" else F.col("__id").desc_nulls_last()
+    ordered = keyed.repartitionByRange(parts, "__lead", "__digest", rank).sortWithinPartitions("__lead", "__digest", rank)
+    names = [*carry, "__id", "__digest"]
+    fields = [f for f in keyed.schema.fields if f.name in names]
+    return materialise(ordered.mapInArrow(_runs([f.name for f in fields], heads), T.StructType([*fields, *_MARKS])), "exact-runs")
+
+
+def _chains(runs: DataFrame) -> DataFrame:
+    """The first and the last run of each partition, two rows a partition at most, with the chain of equal texts that they
+    belong to and their place in it."""
+    line = W.Window.orderBy("__part", "__run")
+    edges = runs.filter("__edge is not null").select("__part", "__run", "__edge", F.col("__id").alias("head"))
+    edges = edges.withColumn("new", (~F.col("__edge").eqNullSafe(F.lag("__edge").over(line))).cast("long")).withColumn("chain", F.sum("new").over(line)).drop("__edge", "new")
+    return edges.withColumn("place", F.row_number().over(W.Window.partitionBy("chain").orderBy("__part", "__run")))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", partitions: int | None = None) -> DataFrame:
@@ -88,26 +117,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``keep`` says which identifier of a group stays: ``smallest`` (default) or ``largest``.
     """
-    spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rank = F.col("id").asc_nulls_first() if keep == "smallest" else F.col("id").desc_nulls_last()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_normalised, _NORMAL)
-    ordered = rows.repartitionByRange(parts, "lead", "digest", rank).sortWithinPartitions("lead", "digest", "text", rank)
-    runs = materialise(ordered.mapInArrow(_runs, _RUNS), "exact-runs")
-
-    # What the cuts separate: the first and the last run of each partition, two texts a partition at most.
-    edges = runs.filter(F.col("edge").isNotNull()).select("part", "run", "edge", F.col("id").alias("first_id"))
-    line = W.Window.orderBy("part", "run")
-    edges = edges.withColumn("new", (~F.col("edge").eqNullSafe(F.lag("edge").over(line))).cast("long")).withColumn("chain", F.sum("new").over(line)).drop("edge", "new")
-    edges = edges.withColumn("place", F.row_number().over(W.Window.partitionBy("chain").orderBy("part", "run")))
-
-    # Runs never share a partition's inside, so a run's size is its last row's number; chains add up their runs.
-    sizes = runs.groupBy("part", "run").agg((F.max("nth") + 1).alias("size"), F.min_by("id", "nth").alias("first_id"))
-    chains = edges.join(sizes.select("part", "run", "size"), ["part", "run"]).groupBy("chain").agg(F.sum("size").alias("chain_size"), F.min_by("first_id", "place").alias("chain_id"))
-    of_edge = edges.select("part", "run", "chain", "place").join(chains, "chain")
-    of_run = sizes.join(of_edge, ["part", "run"], "left").select(
-        "part", "run", F.coalesce("chain_id", "first_id").alias("keep_id"), F.coalesce("chain_size", "size").alias("group_size"), F.coalesce("place", F.lit(1)).alias("place")
+    runs = _sorted_runs(docs, id_col, text_col, [], False, keep, partitions)
+    edges = _chains(runs)
+    # A run ends inside its partition or is an edge, so its size is its last place; chains add up their runs.
+    sizes = runs.groupBy("__part", "__run").agg((F.max("__nth") + 1).alias("size"), F.min_by("__id", "__nth").alias("head"))
+    chains = edges.join(sizes.select("__part", "__run", "size"), ["__part", "__run"]).groupBy("chain").agg(F.sum("size").alias("chain_size"), F.min_by("head", "place").alias("chain_head"), F.lit(True).alias("chained"))
+    of_edge = edges.select("__part", "__run", "chain", "place").join(chains, "chain")
+    of_run = sizes.join(of_edge, ["__part", "__run"], "left").select(
+        "__part", "__run", F.when(F.col("chained"), F.col("chain_head")).otherwise(F.col("head")).alias("keep_id"), F.coalesce("chain_size", "size").alias("group_size"), F.coalesce("place", F.lit(1)).alias("place")
     )
-    return runs.join(of_run, ["part", "run"]).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", ((F.col("place") == 1) & (F.col("nth") == 0)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    return runs.join(of_run, ["__part", "__run"]).select(
+        F.col("__id").alias(id_col), "keep_id", "group_size", ((F.col("place") == 1) & (F.col("__nth") == 0)).alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256")
     )
+
+
+def exact_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", partitions: int | None = None) -> DataFrame:
+    """The whole rows of ``docs`` that stay, one of each group of equal texts."""
+    heads = _sorted_runs(docs, id_col, text_col, docs.columns, True, keep, partitions)
+    # Heads that continue a run of an earlier partition: two rows a partition at most, so small enough to broadcast.
+    again = _chains(heads).filter("place > 1").select("__part", "__run")
+    return heads.join(F.broadcast(again), ["__part", "__run"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, maxscore, mixing, near_dup, secrets, token_files, toxicity
+from . import exact_dedup, masked_lm, maxscore, mixing, near_dup, pieces, pseudonyms, secrets, token_files, toxicity
 from .common import materialise
 
 
@@ -38,10 +38,22 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(base, 256).alias("base_sha256"), F.array_join("all", ",").alias("spans"))
 
 
+def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.scored(documents(spark, sf_dir))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_groups(documents(spark, sf_dir), words=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(documents(spark, sf_dir), pieces.default_model(spark), keep_ids=False)
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(mixing.hashed(documents(spark, sf_dir).select("doc_id", "text", "source")).drop("text"), "mix-rows")
     taken = mixing.copies(rows, mixing.plan(rows))
@@ -52,5 +64,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(documents(spark, sf_dir), token_files.default_tokenizer(spark)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_maxscore, op4_secret_scan, op6_minhash_near_dedup, op9_mixing, op10_token_files)}
+    """By name, in the order of their numbers."""
+    own = (op1_exact_dedup, op2_toxicity, op3_maxscore, op4_secret_scan, op5_masked_lm, op6_minhash_near_dedup, op7_sentencepiece, op8_pseudonyms, op9_mixing, op10_token_files, pipeline)
+    return {f.__name__: f for f in own}
