@@ -49,7 +49,7 @@ def byte_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of bounded text, so that very long texts don't add up; a part has one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     at = 0
@@ -80,7 +80,7 @@ def coded_words(text: pa.Array, lower: bool = True) -> tuple[list[str], np.ndarr
 class Remembered:
     """Rows of a numpy table by string, learnt when first met; forgotten all at once beyond a bounded number."""
 
-    def __init__(self, learn, kind, most: int = 1_500_000):
+    def __init__(self, learn, kind, most: int = 800_000):
         self.learn, self.kind, self.most = learn, np.dtype(kind), most
         self.clear()
 

@@ -39,7 +39,7 @@ N_BEST = 4
 #: What a character spelled in bytes loses against the worst piece.
 UNKNOWN = 10.0
 #: A worker forgets its parts when it holds so many.
-CACHE_PARTS = 1_500_000
+CACHE_PARTS = 800_000
 
 
 class Pieces:

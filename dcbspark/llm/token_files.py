@@ -35,7 +35,7 @@ MAGIC = b"TOKEF001"
 #: Every so many ones of the bitmap, select keeps the position of one.
 SELECT_EVERY = 256
 #: A worker forgets its pieces when it holds so many.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 700_000
 HEADER = "<8sBBxxxxxxQQQQQ"  # magic, id bytes, low bits, documents, ids, bytes of low, bytes of high, samples
 
 MANIFEST = "path string, shard int, documents long, ids long"
