@@ -59,7 +59,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     flat = flat.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before)).withColumn("start", F.col("end") - F.col("size"))
     is_kind = lambda *names: F.col("kind").isin([KINDS.index(n) for n in names])
     mixed = F.col("text").rlike("[A-Z]") & F.col("text").rlike("[a-z]") & F.col("text").rlike("[0-9]")
-    flat = flat.filter(F.col("kind").isNull() | is_kind("access", "hex", "endpoint") | (is_kind("assign") & (F.col("value") >= 12)) | (is_kind("token") & mixed))
+    # What fails loses its kind but stays a row, so that a document with nothing else is not lost.
+    holds = is_kind("access", "hex", "endpoint") | (is_kind("assign") & (F.col("value") >= 12)) | (is_kind("token") & mixed)
+    flat = flat.withColumn("kind", F.when(holds, F.col("kind")))
 
     # The sweep. Ends of earlier parts are taken as a running maximum, starts of later ones as a minimum from the far side.
     line = W.Window.partitionBy("__row").orderBy("start", "kind")
