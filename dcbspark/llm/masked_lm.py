@@ -6,8 +6,9 @@ in its class. A document's score is the sum of the conditional log-probabilities
 
 The vocabulary comes from exact counts of all words of the corpus: the most frequent words are tokens of their own, in
 classes by rank, and every other word falls into one of ``RARE`` hashed tokens. Training is by parameter averaging: every
-task runs gradient steps over its own documents, whole texts, on every ``STRIDE``-th position, and the parameters are
-averaged by token counts in a tree of groups; ``ROUNDS`` such rounds run. What is gathered (counts, steps, parameters of
+task runs gradient steps over its own documents, whole texts, and the parameters are averaged by token counts in a tree of
+groups; ``ROUNDS`` such rounds run, each on every ``ROUNDS``-th position of every text, so that together they train on every
+position once. What is gathered (counts, steps, parameters of
 tasks) grows with the corpus; what a task holds, and the model that is broadcast, have a fixed size.
 
 Defined results: a null or empty text has no tokens, score 0 and a null mean; the first and last tokens of a text see an
@@ -34,8 +35,7 @@ VOCABULARY = CLASSES * MEMBERS
 RARE = 1024
 SIDE = 2
 HIDDEN = 24
-#: Positions that train: one of so many, another one in each round.
-STRIDE = 24
+#: Rounds of training, among which the positions of each text are dealt in turn.
 ROUNDS = 2
 RATE = 0.1
 BATCH = 2048
@@ -160,10 +160,10 @@ class Trainer:
         back *= 1 - h * h
         grads.append(("hidden", back.sum(axis=0), ...))
         for k in range(2 * SIDE):
-            rows, place = np.unique(near[k], return_inverse=True)
-            total = np.zeros((len(rows), HIDDEN), np.float32)
-            np.add.at(total, place, back)
-            grads.append(("left", total, (k, rows)))
+            order = np.argsort(near[k], kind="stable")
+            held = near[k][order]
+            begins = np.flatnonzero(np.diff(held, prepend=-1))
+            grads.append(("left", np.add.reduceat(back[order], begins, axis=0), (k, held[begins])))
         for name, grad, at in grads:
             self._step(name, grad, at)
 
@@ -197,6 +197,12 @@ def _token_ids(name: str, vocabulary: Vocabulary, text: pa.Array) -> tuple[np.nd
     return _TOKENS[name].rows(words)[codes], starts
 
 
+def _positions(starts: np.ndarray, nth: int) -> np.ndarray:
+    """Positions that train in round ``nth``, counted from the begin of each text."""
+    within = np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
+    return np.flatnonzero(within % ROUNDS == nth)
+
+
 def _train(name: str, words, model, nth: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -205,7 +211,7 @@ def _train(name: str, words, model, nth: int):
         for batch in (part for whole in rows for part in slices(whole, most_bytes=8 << 20)):
             ids, starts = _token_ids(name, words.value, batch.column("text"))
             near = _neighbours(ids, starts)
-            at = np.random.default_rng(nth).permutation(np.arange(nth * STRIDE // ROUNDS, len(ids), STRIDE))
+            at = np.random.default_rng(nth).permutation(_positions(starts, nth))
             for b in range(0, len(at), BATCH):
                 trainer.learn(ids[at[b : b + BATCH]], near[:, at[b : b + BATCH]])
         if trainer.tokens:

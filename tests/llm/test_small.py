@@ -283,6 +283,27 @@ def test_language_model(docs, none):
     assert masked_lm.scored(none).count() == 0
 
 
+def test_language_model_trains_on_every_position(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    learnt = collections.Counter()
+
+    def learn(self, ids, near):
+        self.tokens += len(ids)
+        learnt.update(ids.tolist())
+
+    monkeypatch.setattr(masked_lm.Trainer, "learn", learn)
+    texts = ["a", None, "b c", "", " ".join(f"x{k}" for k in range(23)), " ".join(f"y{k}" for k in range(49))]
+    words = [w for t in texts for w in (t or "").split()]
+    vocabulary, model = (SimpleNamespace(value=v) for v in (masked_lm.Vocabulary(words), masked_lm.initial(np.ones(masked_lm.VOCABULARY))))
+    for nth in range(masked_lm.ROUNDS):
+        list(masked_lm._train("every", vocabulary, model, nth)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    assert learnt == collections.Counter(range(len(words)))
+
+
 def test_toxicity(docs, none, spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(WORDS, 30)) + (" you scum" if k % 4 == 0 else "") for k in range(400)]
