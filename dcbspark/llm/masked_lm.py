@@ -2,10 +2,12 @@
 
 A window network in numpy predicts every token from the tokens on both sides of it: each of the ``SIDE`` neighbours to the
 left and right adds a vector of its own to the hidden layer, and a two-level softmax gives the token's class and the token
-in its class. A document's score is the sum of the conditional log-probabilities of all its tokens.
+in its class. A document's score is the sum of the conditional log-probabilities of all its words.
 
 The vocabulary comes from exact counts of all words of the corpus: the most frequent words are tokens of their own, in
-classes by rank, and every other word falls into one of ``RARE`` hashed tokens. Training is by parameter averaging: every
+classes by rank, and every other word falls into one of ``RARE`` hashed tokens. Such a word's own probability within its token
+is n / (N + 1), of its count n and the token's N in the corpus, and 1 / (N + 1) is left for all unseen words; the counts are
+joined by word, and no task holds them. So the score is that of the words, however many there are. Training is by parameter averaging: every
 task runs gradient steps over its own documents, whole texts, and the parameters are averaged by token counts in a tree of
 groups; ``ROUNDS`` such rounds run, each on every ``ROUNDS``-th position of every text, so that together they train on every
 position once. What is gathered (counts, steps, parameters of
@@ -188,13 +190,13 @@ class Vocabulary:
 _TOKENS: dict[str, Remembered] = {}
 
 
-def _token_ids(name: str, vocabulary: Vocabulary, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of texts, with each worker's memory of the words under the vocabulary with this name."""
+def _token_ids(name: str, vocabulary: Vocabulary, text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Token ids of texts, starts of texts, distinct words and their codes, with each worker's memory of the words under the vocabulary with this name."""
     if name not in _TOKENS:
         _TOKENS.clear()
         _TOKENS[name] = Remembered(vocabulary.ids, np.int64)
     words, codes, starts = coded_words(text)
-    return _TOKENS[name].rows(words)[codes], starts
+    return _TOKENS[name].rows(words)[codes], starts, words, codes
 
 
 def _positions(starts: np.ndarray, nth: int) -> np.ndarray:
@@ -209,7 +211,7 @@ def _train(name: str, words, model, nth: int):
 
         trainer, task = Trainer(model.value), TaskContext.get().partitionId()
         for batch in (part for whole in rows for part in slices(whole, most_bytes=8 << 20)):
-            ids, starts = _token_ids(name, words.value, batch.column("text"))
+            ids, starts, _, _ = _token_ids(name, words.value, batch.column("text"))
             near = _neighbours(ids, starts)
             at = np.random.default_rng(nth).permutation(_positions(starts, nth))
             for b in range(0, len(at), BATCH):
@@ -233,20 +235,46 @@ def _average(rows: pa.Table) -> pa.Table:
 _AVERAGED = "block int, part int, weight double, values binary"
 
 
-def _score(name: str, words, model, carry: list[str]):
+def _rare_counts(vocabulary):
+    """Occurrences of the words of each hashed token."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARE, np.int64)
+        for batch in rows:
+            ids = vocabulary.value.ids(batch.column("word").to_pylist()) - (VOCABULARY - RARE)
+            np.add.at(total, ids[ids >= 0], np.asarray(batch.column("n"))[ids >= 0])
+        yield pa.RecordBatch.from_arrays([pa.array(range(RARE), pa.int32()), pa.array(total)], names=["bucket", "n"])
+
+    return run
+
+
+_RARE = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
+
+
+def _score(name: str, words, model, rare, carry: list[str]):
+    """Sums of log-probabilities but for log n of words in hashed tokens, which ``__rare`` lists with their occurrences."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        within = np.zeros(VOCABULARY)
+        within[VOCABULARY - RARE :] = -np.log(rare.value + 1.0)
         for batch in (part for whole in rows for part in slices(whole, most_bytes=8 << 20)):
-            ids, starts = _token_ids(name, words.value, batch.column("text"))
-            sums = np.concatenate([[0.0], np.cumsum(log_probabilities(model.value, ids, _neighbours(ids, starts)))])
+            ids, starts, distinct, codes = _token_ids(name, words.value, batch.column("text"))
+            sums = np.concatenate([[0.0], np.cumsum(log_probabilities(model.value, ids, _neighbours(ids, starts)) + within[ids])])
             n = np.diff(starts)
             total = sums[starts[1:]] - sums[starts[:-1]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=[*carry, "n_tokens", "pll", "mean_log_prob"])
+            hashed = np.flatnonzero(ids >= VOCABULARY - RARE)
+            text = np.searchsorted(starts, hashed, side="right") - 1
+            pairs, k = np.unique(text * len(distinct) + codes[hashed], return_counts=True)
+            held = pa.StructArray.from_arrays([pa.array(distinct, pa.string()).take(pa.array(pairs % max(1, len(distinct)))), pa.array(k, pa.int64())], names=["word", "k"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(len(n) + 1) * len(distinct)), pa.int32()), held)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(n), pa.array(total), lists.cast(_RARE)], names=[*carry, "n_tokens", "pll", "__rare"])
 
     return run
 
 
 def fitted(docs: DataFrame, text_col: str = "text"):
-    """(vocabulary, parameters) trained on all texts, as broadcasts of fixed size, and a name for them."""
+    """A name, then vocabulary, parameters trained on all texts and occurrences by hashed token as broadcasts of fixed size,
+    and the table of all words with their counts."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     counts = materialise(texts.mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
@@ -254,10 +282,12 @@ def fitted(docs: DataFrame, text_col: str = "text"):
     vocabulary = Vocabulary([r["word"] for r in frequent])
     share = np.zeros(VOCABULARY)
     share[: len(frequent)] = [r["n"] for r in frequent]
-    total, known = counts.agg(F.sum("n")).first()[0] or 0, share.sum()
-    share[VOCABULARY - RARE :] = (total - known) / RARE
-    flat, name = initial(share), f"{spark.sparkContext.applicationId}-{id(vocabulary)}-{total}"
     words = spark.sparkContext.broadcast(vocabulary)
+    rare = np.zeros(RARE, np.int64)
+    for r in counts.mapInArrow(_rare_counts(words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # RARE rows
+        rare[r["bucket"]] = r["n"]
+    share[VOCABULARY - RARE :] = rare
+    flat, name = initial(share), f"{spark.sparkContext.applicationId}-{id(vocabulary)}-{int(share.sum())}"
     for nth in range(ROUNDS):
         model = spark.sparkContext.broadcast(flat)
         trained = texts.mapInArrow(_train(name, words, model, nth), _AVERAGED)
@@ -265,12 +295,18 @@ def fitted(docs: DataFrame, text_col: str = "text"):
         got = {r["block"]: r["values"] for r in partial.collect()}  # BLOCKS rows, together one model
         if got:
             flat = np.frombuffer(b"".join(bytes(got[b]) for b in range(BLOCKS)), np.float32)
-    return name, words, spark.sparkContext.broadcast(flat)
+    return name, words, spark.sparkContext.broadcast(flat), spark.sparkContext.broadcast(rare), counts
 
 
 def scored(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Carried columns with n_tokens, pll (sum of conditional log-probabilities) and mean_log_prob."""
-    name, words, model = fitted(docs, text_col)
+    name, words, model, rare, counts = fitted(docs, text_col)
     rows = docs.select(*carry, F.col(text_col).cast("string").alias("text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(_score(name, words, model, list(carry)), ", ".join([*fields, "n_tokens long, pll double, mean_log_prob double"]))
+    made = rows.mapInArrow(_score(name, words, model, rare, list(carry)), ", ".join([*fields, "n_tokens long, pll double, __rare array<struct<word: string, k: long>>"]))
+    made = materialise(made.withColumn("__row", F.monotonically_increasing_id()), "lm-rows")  # written, so a row keeps its number
+    # A count of one, of a word met once or never, adds log 1.
+    seen = made.select("__row", F.inline("__rare")).join(counts.filter("n > 1"), "word")
+    own = seen.groupBy("__row").agg(F.sum(F.col("k") * F.log("n")).alias("__own"))
+    pll = F.col("pll") + F.coalesce("__own", F.lit(0.0))
+    return made.drop("__rare").join(own, "__row", "left").select(*carry, "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("mean_log_prob"))

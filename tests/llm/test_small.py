@@ -304,6 +304,23 @@ def test_language_model_trains_on_every_position(monkeypatch):
     assert learnt == collections.Counter(range(len(words)))
 
 
+def test_language_model_tells_words_of_one_hashed_token_apart(spark):
+    frequent = [f"c{k}" for k in range(masked_lm.OUTSIDE)]
+    token = masked_lm.Vocabulary(frequent).ids
+    by = collections.defaultdict(list)
+    for w in (f"rare{k}" for k in range(5000)):
+        by[int(token([w])[0])].append(w)
+    one, two, three = next(v for v in by.values() if len(v) > 2)[:3]
+    texts = [" ".join(frequent)] * 9 + [one] * 4 + [two] * 2 + [three, "", None, f"{two} {one} c1 {one}"]
+    got = [tuple(r) for r in masked_lm.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(i for i, *_ in got) == list(range(len(texts)))
+    pll = {i: p for i, _, p, _ in got}
+    # 6, 3 and 1 occurrences of 10 in the token, with one share left for unseen words
+    assert abs(pll[9] - pll[13] - math.log(6 / 3)) < 1e-6 and abs(pll[9] - pll[15] - math.log(6)) < 1e-6
+    assert pll[16] == pll[17] == 0 and all(m is None if not n else abs(m - p / n) < 1e-9 for _, n, p, m in got)
+    assert pll[9] < math.log(6 / 11)
+
+
 def test_toxicity(docs, none, spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(WORDS, 30)) + (" you scum" if k % 4 == 0 else "") for k in range(400)]
