@@ -7,7 +7,8 @@ fixes the map, so equal values stay linked across documents and across ways of w
 domain, and their letters and digits are permuted as letters and digits.
 
 Defined results: a null or empty text stays as it is and has no values; of overlapping matches the one that begins first is
-taken, of those the kind listed first; numbers that fail validation stay; repeated rows get the same text; null ids are
+taken, of those the kind listed first; of an account number's match that fails, the longest valid part up to a space is
+taken; numbers that fail validation stay, and the search goes on from their second character; repeated rows get the same text; null ids are
 kept; an empty table gives an empty result; other columns are not read.
 """
 
@@ -191,14 +192,19 @@ def replaced(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple[str
     spans: list[tuple[str, int, int]] = []
     if not _HINT.search(text):
         return text, counts, spans
-    out, at = [], 0
-    for m in _FOUND.finditer(text):
-        new = _BY_NAME[m.lastgroup](m[0], key)
+    out, at, m = [], 0, _FOUND.search(text)
+    while m is not None:
+        found, kind = m[0], m.lastgroup
+        new = _BY_NAME[kind](found, key)
+        while new is None and kind == "account" and " " in found:  # the pattern may have taken words after the number
+            found = found.rpartition(" ")[0]
+            new = account(found, key)
         if new is not None:
             out += [text[at : m.start()], new]
-            at = m.end()
-            counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
-            spans.append((m.lastgroup, m.start(), m.end()))
+            at = m.start() + len(found)
+            counts[kind] = counts.get(kind, 0) + 1
+            spans.append((kind, m.start(), at))
+        m = _FOUND.search(text, m.start() + 1 if new is None else at)
     return "".join([*out, text[at:]]), counts, spans
 
 

@@ -263,6 +263,17 @@ def test_pseudonyms(docs, none, spark):
     assert pseudonyms.pseudonymised(none).count() == 0
 
 
+@pytest.mark.parametrize("number", ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201"])
+@pytest.mark.parametrize("after", ["USD", "BIC", "2024", "DATE", "PAID 2024 EUR"])
+def test_account_before_other_words(number, after):
+    alone, counts, _ = pseudonyms.replaced(number, b"key")
+    assert counts == {"account": 1} and alone != number
+    for before in ("", "AB12 ", "REF1 "):
+        new, counts, spans = pseudonyms.replaced(f"{before}{number} {after}", b"key")
+        assert new == f"{before}{alone} {after}" and counts == {"account": 1}
+        assert spans == [("account", len(before), len(before) + len(number))]
+
+
 def test_language_model(docs, none):
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 40, 4000)
