@@ -20,6 +20,14 @@ def test_held_out_accuracy(spark):
     assert sum(p == y for p, y in held) / len(held) > 0.97
 
 
+def test_pipeline_returns_n_best(spark):
+    import corpus_pipeline as c
+
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en", "s")], "doc_id long, text string, lang string, source string")
+    (row,) = c.tokens(spark, docs, SF).collect()
+    assert len(row["nbest_scores"]) == len(set(row["nbest_crc32"])) == c.pieces.N_BEST and row["nbest_scores"][0] == row["score"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
