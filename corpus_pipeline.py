@@ -31,8 +31,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id. Rows are told apart by id and text."""
-    kept = materialise(near_dup.near_groups(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")), "pipeline-near")
+    """One document of each group of near-duplicates: that with the smallest id, of those the smallest MD5; null ids come last.
+    Documents without words stay. Rows are told apart by id and text."""
+    groups = materialise(near_dup.near_groups(docs).select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5"), "component"), "pipeline-near")
+    least = groups.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__md5")).alias("row"))
+    kept = least.select("row.__id", "row.__md5").union(groups.filter("component is null").select("__id", "__md5"))
     md5 = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (md5 == F.col("__md5")), "left_semi")
 

@@ -28,6 +28,16 @@ def test_pipeline_returns_n_best(spark):
     assert len(row["nbest_scores"]) == len(set(row["nbest_crc32"])) == c.pieces.N_BEST and row["nbest_scores"][0] == row["score"]
 
 
+def test_pipeline_keeps_one_near_duplicate_whatever_the_ids(spark):
+    import corpus_pipeline as c
+
+    a, b, d = (" ".join(f"{x}{k}" for k in range(90)) for x in "abd")
+    rows = [(7, a), (7, f"{a} x"), (7, f"{a} y"), (7, b), (7, f"{b} x"), (None, d), (None, f"{d} x"), (None, "e f g"), (None, "h i j"), (None, f"{b} z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["text"].split()[0] for r in c.unlike(spark, docs, SF).collect()]
+    assert sorted(got) == ["a0", "b0", "d0", "e", "h"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
