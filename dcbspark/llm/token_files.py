@@ -276,9 +276,16 @@ class Shard:
 
     def scan(self) -> Iterator[np.ndarray]:
         """Ids of every document in order, read once through."""
+        return (ids for _, ids in self.placed())
+
+    def placed(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Begin and ids of every document in order, read once through; each end by select."""
         self.file.seek(0)
-        for n in np.diff(self.ends.values().astype(np.int64), prepend=0):
-            yield np.frombuffer(self.file.read(int(n) * self.width), self.kind)
+        a = 0
+        for k in range(self.n):
+            b = self.ends.select(k)
+            yield a, np.frombuffer(self.file.read((b - a) * self.width), self.kind)
+            a = b
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shards: int | None = None) -> DataFrame:
@@ -297,11 +304,10 @@ def _reader(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for row in batch.to_pylist():
             shard = Shard(row["path"])
-            crc = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.scan()]
-            ends = shard.ends.values().astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            found = [(a, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for a, ids in shard.placed()]
+            starts, lengths, crc = np.array(found, np.int64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.doc_ids, pa.int64(), mask=shard.null), pa.array(np.full(shard.n, row["shard"], np.int32)), pa.array(starts + row["before"]), pa.array(ends - starts), pa.array(crc, pa.int64())], names=names
+                [pa.array(shard.doc_ids, pa.int64(), mask=shard.null), pa.array(np.full(shard.n, row["shard"], np.int32)), pa.array(starts + row["before"]), pa.array(lengths), pa.array(crc)], names=names
             )
 
 

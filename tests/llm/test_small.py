@@ -132,6 +132,16 @@ def test_shard_file_and_select(docs, spark):
         assert sum(len(x) for x in shard.scan()) == m["ids"]
 
 
+def test_reader_takes_bounds_by_select(docs, spark, monkeypatch):
+    monkeypatch.setattr(token_files.EliasFano, "values", None)
+    folder = token_files.shared_dir(spark)
+    made = token_files.write_shards(docs, token_files.default_tokenizer(spark), f"{folder}/s", shards=2).collect()
+    rows = pa.RecordBatch.from_pylist([{"path": m["path"], "shard": m["shard"], "before": 5} for m in made])
+    for m, got in zip(made, token_files._reader(iter([rows])), strict=True):
+        shard = token_files.Shard(m["path"])
+        assert [(r["start"] - 5, r["start"] - 5 + r["n_tokens"]) for r in got.to_pylist()] == [shard.bounds(k) for k in range(shard.n)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 3000])
 def test_elias_fano(n):
     values = np.cumsum(np.random.default_rng(n).integers(0, 900, n))
