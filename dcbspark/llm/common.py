@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -77,19 +80,64 @@ def coded_words(text: pa.Array, lower: bool = True) -> tuple[list[str], np.ndarr
     return words, codes, starts
 
 
+#: What this worker remembers from task to task, of one operator at a time: Spark hands a worker to many, one after another.
+_MEMORY: dict[tuple, Any] = {}
+
+
+def memory(*key: Any, make: Callable[[], Any]) -> Any:
+    """What an operator remembers in this worker under a key (its name and a model or file). What another operator or key
+    left behind is let go first, and freed memory goes back to the system."""
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+        _MEMORY[key] = make()
+    return _MEMORY[key]
+
+
+#: Bytes, as estimated, that one memory may hold, and the longest string that is remembered.
+MOST_BYTES = 64 << 20
+LONGEST = 64
+
+
+class Recent(dict):
+    """What ``make`` gave for a string, in two generations of ``most`` bytes each: a full young one becomes the old one, and
+    what is met again moves back, so that frequent strings stay. Long strings are made anew each time."""
+
+    def __init__(self, make: Callable[[str], Any], each: int = 300, most: int = MOST_BYTES):
+        super().__init__()
+        self.make, self.each, self.most, self.held, self.old = make, each, most, 0, {}
+
+    def __missing__(self, key: str) -> Any:
+        known = self.old.get(key)
+        if known is None:
+            known = self.make(key)
+        if len(key) <= LONGEST:
+            self.held += self.each + 2 * len(key)
+            if self.held > self.most:
+                self.old, self.held = self.copy(), 0
+                self.clear()
+            self[key] = known
+        return known
+
+
 class Remembered:
-    """Rows of a numpy table by string, learnt when first met; forgotten all at once beyond a bounded number."""
+    """Rows of a numpy table by string, learnt when first met; forgotten all at once beyond ``most`` bytes and one batch."""
 
-    def __init__(self, learn, kind, most: int = 800_000):
+    def __init__(self, learn, kind, most: int = MOST_BYTES):
         self.learn, self.kind, self.most = learn, np.dtype(kind), most
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.table = np.zeros(1 << 12, self.kind)
+        self.held = 0
 
     def rows(self, words: list[str]) -> np.ndarray:
-        if len(self.at) + len(words) > self.most:
+        if self.held > self.most:
             self.clear()
         at = self.at
         new = [w for w in words if w not in at]
@@ -99,4 +147,5 @@ class Remembered:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[n : n + len(new)] = self.learn(new)
             at.update(zip(new, range(n, n + len(new)), strict=True))
+            self.held += sum(map(len, new)) + len(new) * (200 + self.table[:1].nbytes)
         return self.table[np.fromiter(map(at.__getitem__, words), np.int64, len(words))]

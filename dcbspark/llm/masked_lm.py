@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, coded_words, materialise, slices
+from .common import Remembered, coded_words, materialise, memory, slices
 
 CLASSES = 64
 MEMBERS = 64
@@ -187,16 +187,11 @@ class Vocabulary:
         return np.fromiter((r if (r := get(w)) is not None else VOCABULARY - RARE + h(w) % RARE for w in words), np.int64, len(words))
 
 
-_TOKENS: dict[str, Remembered] = {}
-
-
 def _token_ids(name: str, vocabulary: Vocabulary, text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Token ids of texts, starts of texts, distinct words and their codes, with each worker's memory of the words under the vocabulary with this name."""
-    if name not in _TOKENS:
-        _TOKENS.clear()
-        _TOKENS[name] = Remembered(vocabulary.ids, np.int64)
+    known = memory("masked_lm", name, make=lambda: Remembered(vocabulary.ids, np.int64))
     words, codes, starts = coded_words(text)
-    return _TOKENS[name].rows(words)[codes], starts, words, codes
+    return known.rows(words)[codes], starts, words, codes
 
 
 def _positions(starts: np.ndarray, nth: int) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import coded, slices
+from .common import Recent, coded, memory, slices
 
 SPACE = "▁"
 #: Stands for a U+2581 of the text itself; a lone surrogate, so no text holds it.
@@ -38,8 +38,8 @@ OWN = "\udc81"
 N_BEST = 4
 #: What a character spelled in bytes loses against the worst piece.
 UNKNOWN = 10.0
-#: A worker forgets its parts when it holds so many.
-CACHE_PARTS = 800_000
+#: Bytes of each generation of remembered chunks; parts and N-best ways have a quarter of it.
+REMEMBERED = 96 << 20
 
 
 class Pieces:
@@ -71,9 +71,10 @@ class Pieces:
         self.flat = np.frombuffer(b"".join(spelled), np.uint8)
         self.lengths = np.array([len(s) for s in spelled], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
-        self.parts: dict[str, tuple[bytes, float, float]] = {}
-        self.chunks: dict[str, tuple[bytes, float, float]] = {}
-        self.ways: dict[tuple[str, int], list[tuple[float, np.ndarray]]] = {}
+        #: Ids, score and the loss of a second-best way: of a chunk between spaces, and of a part of a chunk that has several.
+        self.chunks = Recent(self._chunk, most=REMEMBERED)
+        self.parts = Recent(self._part, most=REMEMBERED // 4)
+        self.ways: dict[int, Recent] = {}
 
     def spell(self, piece: str) -> list[int]:
         """Ids of an edge: a piece, or a character's bytes. OWN marks a U+2581 of the text."""
@@ -120,36 +121,34 @@ class Pieces:
 
     def _part(self, part: str) -> tuple[bytes, float, float]:
         """Ids and score of the best segmentation, and what the second best loses against it."""
-        if (known := self.parts.get(part)) is None:
-            get, longest, n = self.begun.get, self.longest, len(part)
-            # Best and second-best score into each place over the edges there, with the best edge's start.
-            best, other, back = [-1e300] * (n + 1), [-1e300] * (n + 1), [0] * (n + 1)
-            best[0] = 0.0
-            for i in range(n):
-                here = best[i]
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    s = get(part[i:j])
-                    if s is None:  # no piece begins so
-                        if j > i + 1:
-                            break
-                        s = self.unknown
-                    elif s < -1e299:  # pieces begin so, none ends here
-                        if j > i + 1:
-                            continue
-                        s = self.unknown
-                    s += here
-                    if s > best[j]:
-                        other[j], best[j], back[j] = best[j], s, i
-                    elif s > other[j]:
-                        other[j] = s
-            at, loss, ids = n, 1e300, []
-            while at:  # the second best leaves the best way for the last time at one of its places
-                loss = min(loss, best[at] - other[at])
-                piece = part[back[at] : at]
-                ids += [self.id[piece]] if piece in self.id else self.spell(piece)[::-1]
-                at = back[at]
-            known = self.parts[part] = (array(self.code, ids[::-1]).tobytes(), best[-1], loss if loss < 1e290 else float("inf"))
-        return known
+        get, longest, n = self.begun.get, self.longest, len(part)
+        # Best and second-best score into each place over the edges there, with the best edge's start.
+        best, other, back = [-1e300] * (n + 1), [-1e300] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here = best[i]
+            for j in range(i + 1, min(n, i + longest) + 1):
+                s = get(part[i:j])
+                if s is None:  # no piece begins so
+                    if j > i + 1:
+                        break
+                    s = self.unknown
+                elif s < -1e299:  # pieces begin so, none ends here
+                    if j > i + 1:
+                        continue
+                    s = self.unknown
+                s += here
+                if s > best[j]:
+                    other[j], best[j], back[j] = best[j], s, i
+                elif s > other[j]:
+                    other[j] = s
+        at, loss, ids = n, 1e300, []
+        while at:  # the second best leaves the best way for the last time at one of its places
+            loss = min(loss, best[at] - other[at])
+            piece = part[back[at] : at]
+            ids += [self.id[piece]] if piece in self.id else self.spell(piece)[::-1]
+            at = back[at]
+        return array(self.code, ids[::-1]).tobytes(), best[-1], loss if loss < 1e290 else float("inf")
 
     def cut(self, text: str) -> list[str]:
         """Parts of a text at the pairs that no piece holds."""
@@ -164,19 +163,14 @@ class Pieces:
         return SPACE + (chunk if chunk.isascii() and " " not in chunk else chunk.replace(SPACE, OWN).replace(" ", SPACE))
 
     def _chunk(self, chunk: str) -> tuple[bytes, float, float]:
-        if (known := self.chunks.get(chunk)) is None:
-            first, *rest = self.cut(self._shown(chunk))
-            ids, score, loss = known = self._part(first)
-            for part in rest:
-                more = self._part(part)
-                ids, score, loss = known = ids + more[0], score + more[1], min(loss, more[2])
-            self.chunks[chunk] = known
-        return known
+        parts = self.cut(self._shown(chunk))
+        if len(parts) == 1:
+            return self._part(parts[0])
+        known = [self.parts[p] for p in parts]
+        return b"".join(k[0] for k in known), sum(k[1] for k in known), min(k[2] for k in known)
 
     def encode_all(self, texts: pa.Array, n_best: int = 1) -> Iterator[tuple[np.ndarray, list[tuple[float, np.ndarray]]]]:
         """For every text its best ids, and its N best segmentations as (score, ids)."""
-        if len(self.parts) + len(self.chunks) > CACHE_PARTS:
-            self.parts, self.chunks, self.ways = {}, {}, {}
         if pc.any(pc.match_substring(texts, "  ")).as_py():
             # Pieces of several spaces reach over a single one: a run of spaces stays with what follows it.
             lists = pa.array([[c[1:] for c in re.findall(" +[^ ]*", " " + t)] for t in texts.to_pylist()], pa.list_(pa.string()))
@@ -187,7 +181,7 @@ class Pieces:
         collecting = gc.isenabled()
         gc.disable()
         try:
-            known = list(map(self._chunk, chunks))
+            known = list(map(self.chunks.__getitem__, chunks))
         finally:
             if collecting:
                 gc.enable()
@@ -215,18 +209,16 @@ class Pieces:
 
     def _ways(self, chunk: str, n_best: int) -> list[tuple[float, np.ndarray]]:
         """The N best ways of a chunk: (loss against the best, ids)."""
-        if (known := self.ways.get((chunk, n_best))) is not None:
-            return known
-        parts = [self.search(p, n_best) for p in self.cut(self._shown(chunk))]
         ways: list[tuple[float, list[int]]] = [(0.0, [])]
-        for found in parts:
+        for part in self.cut(self._shown(chunk)):
+            found = self.search(part, n_best)
             ways = sorted(((w[0] + found[0][0] - f[0], w[1] + f[1]) for w in ways for f in found), key=lambda w: w[0])[:n_best]
-        known = self.ways[chunk, n_best] = [(w[0], np.array(w[1], self.kind)) for w in ways]
-        return known
+        return [(w[0], np.array(w[1], self.kind)) for w in ways]
 
     def _merge(self, best: float, own: np.ndarray, near: list[tuple[int, int, str]], n_best: int) -> list[tuple[float, np.ndarray]]:
         """The N best of a whole text, from the ways of the chunks (begin, end, chunk) that can matter, by least loss."""
-        ways = [self._ways(c, n_best) for _, _, c in near]
+        known = self.ways.setdefault(n_best, Recent(lambda c: self._ways(c, n_best), 200 * n_best, REMEMBERED // 4))
+        ways = [known[c] for _, _, c in near]
         heap, seen, out = [(0.0, (0,) * len(ways))], {(0,) * len(ways)}, []
         while heap and len(out) < n_best:
             loss, pick = heapq.heappop(heap)
@@ -261,13 +253,8 @@ def ragged(flat: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> tuple[np.
     return flat[at], ends
 
 
-_MODELS: dict[str, Pieces] = {}
-
-
 def model(path: str) -> Pieces:
-    if path not in _MODELS:
-        _MODELS[path] = Pieces(path)
-    return _MODELS[path]
+    return memory("pieces", path, make=lambda: Pieces(path))
 
 
 def _encoder(path: str, n_best: int, keep_ids: bool):

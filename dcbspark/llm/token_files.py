@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import coded, materialise, shared_dir, slices
+from .common import Recent, coded, materialise, memory, shared_dir, slices
 
 MAGIC = b"TOKEF001"
 #: Every so many ones of the bitmap, select keeps the position of one.
 SELECT_EVERY = 256
-#: A worker forgets its pieces when it holds so many.
-CACHE_PIECES = 700_000
+#: Bytes of each generation of a worker's chunks and of its pieces.
+REMEMBERED = 80 << 20
 HEADER = "<8sBBxxxxxxQQQQQ"  # magic, id bytes, low bits, documents, ids, bytes of low, bytes of high, samples
 
 MANIFEST = "path string, shard int, documents long, ids long"
@@ -148,36 +148,31 @@ class Encoder:
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: b if b in shown else 256 + hidden.index(b) for b in range(256)}
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.pieces = Recent(self._piece, 220, REMEMBERED)
+        self.chunks = Recent(self._chunk, 220, REMEMBERED)
 
     def _whole(self, text: str) -> bytes:
         return array("H" if self.width == 2 else "I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if (known := self.pieces.get(piece)) is None:
-            shown = piece.encode().decode("latin-1").translate(self.alphabet)
-            known = self.pieces[piece] = array("H" if self.width == 2 else "I", [t.id for t in self.pieces_of(shown)]).tobytes()
-        return known
+        shown = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("H" if self.width == 2 else "I", [t.id for t in self.pieces_of(shown)]).tobytes()
 
     def _line(self, line: str) -> bytes | None:
         """A word, after a space or not, with marks after it; None if it is anything else."""
         word = line.rstrip(".,;:!?")
         if (word[1:] if word[:1] == " " else word).isalpha():
-            return self._piece(word) + self._piece(line[len(word) :]) if len(word) < len(line) else self._piece(word)
+            return self.pieces[word] + self.pieces[line[len(word) :]] if len(word) < len(line) else self.pieces[word]
         return None
 
     def _chunk(self, chunk: str) -> bytes:
         """A chunk with the space before it: lines of such words, or whatever else."""
-        if (known := self.chunks.get(chunk)) is None:
-            chunk = " " + chunk
-            if "\n" in chunk:  # one line end between two others that are no white space is a piece of its own
-                lines = [x and self._line(x) for x in chunk.split("\n")]
-                known = self._piece("\n").join(lines) if all(lines) else self._whole(chunk)
-            elif (known := self._line(chunk)) is None:
-                known = self._whole(chunk)
-            self.chunks[chunk[1:]] = known
-        return known
+        chunk = " " + chunk
+        if "\n" in chunk:  # one line end between two others that are no white space is a piece of its own
+            lines = [x and self._line(x) for x in chunk.split("\n")]
+            return self.pieces["\n"].join(lines) if all(lines) else self._whole(chunk)
+        known = self._line(chunk)
+        return self._whole(chunk) if known is None else known
 
     def apart(self, text: str) -> bool:
         """White space meets a space, or a special token's string occurs: to be encoded whole."""
@@ -188,10 +183,8 @@ class Encoder:
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text."""
-        if len(self.chunks) > CACHE_PIECES or len(self.pieces) > CACHE_PIECES:
-            self.chunks, self.pieces = {}, {}
         chunks, codes, starts = coded(pc.split_pattern(texts, " "))
-        packed = list(map(self._chunk, chunks))
+        packed = list(map(self.chunks.__getitem__, chunks))
         lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
         flat = np.frombuffer(b"".join(packed), self.kind)
         begins = np.cumsum(lengths) - lengths
@@ -209,13 +202,8 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return memory("token_files", path, make=lambda: Encoder(path))
 
 
 def _writer(folder: str, tokenizer: str, end_id: int):
