@@ -307,9 +307,6 @@ def test_language_model(docs, none):
 def test_language_model_trains_on_every_position(monkeypatch):
     from types import SimpleNamespace
 
-    import pyspark
-
-    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
     learnt = collections.Counter()
 
     def learn(self, ids, near):
@@ -317,12 +314,55 @@ def test_language_model_trains_on_every_position(monkeypatch):
         learnt.update(ids.tolist())
 
     monkeypatch.setattr(masked_lm.Trainer, "learn", learn)
-    texts = ["a", None, "b c", "", " ".join(f"x{k}" for k in range(23)), " ".join(f"y{k}" for k in range(49))]
-    words = [w for t in texts for w in (t or "").split()]
-    vocabulary, model = (SimpleNamespace(value=v) for v in (masked_lm.Vocabulary(words), masked_lm.initial(np.ones(masked_lm.VOCABULARY))))
-    for nth in range(masked_lm.ROUNDS):
-        list(masked_lm._train("every", vocabulary, model, nth)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
-    assert learnt == collections.Counter(range(len(words)))
+    monkeypatch.setattr(masked_lm, "CHUNK", 20)
+    texts = [[7], [8, 9], range(10, 33), range(40, 89), range(100, 108)]
+    rows = [(3, t) for t in texts[:4]] + [(4, texts[4])]
+    batches = [pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.array(t, "<u2").tobytes()], pa.binary())], names=["__shard", "__ids"]) for n, t in rows]
+    model = SimpleNamespace(value=masked_lm.initial(np.ones(masked_lm.VOCABULARY)))
+    made = [b for nth in range(masked_lm.ROUNDS) for b in masked_lm._train(model, nth)(iter(batches))]
+    assert learnt == collections.Counter(x for t in texts for x in t)
+    assert [b.column("part")[0].as_py() for b in made] == [3, 4] * masked_lm.ROUNDS
+
+
+def test_language_model_against_dense_scores(spark, monkeypatch):
+    """The same parameters over a dense softmax of all tokens, word by word, and exact counts; any partitioning gives the same."""
+    monkeypatch.setattr(masked_lm, "KNOWN", 3200)
+    rng = np.random.default_rng(4)
+    words = [f"v{k}" for k in range(4000)]
+    texts = [" ".join(rng.choice(words, n, p=(q := 1 / np.arange(1, 4001)) / q.sum())) for n in rng.integers(0, 60, 900)] + [None, "", "v1", "v3999 unseen"]
+    frame = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, word int")
+    encoded, model, rare, counts = masked_lm.fitted(frame)
+    count = {r["word"]: r["n"] for r in counts.collect()}
+    rank = {w: k for k, w in enumerate(sorted(count, key=lambda w: (-count[w], w))[: masked_lm.OUTSIDE])}
+    token = lambda w: rank.get(w, masked_lm.VOCABULARY - masked_lm.RARE + masked_lm.xxhash.xxh32_intdigest(w) % masked_lm.RARE)
+    total = collections.Counter()
+    for w, n in count.items():
+        if w not in rank:
+            total[token(w)] += n
+    p = masked_lm._parts(model.value.astype(np.float64))
+    want = []
+    for t in texts:
+        ids, own = [token(w) for w in (t or "").split()], 0.0
+        for k, (i, w) in enumerate(zip(ids, (t or "").split(), strict=True)):
+            near = [ids[k + d] if 0 <= k + d < len(ids) else masked_lm.OUTSIDE for d in (-2, -1, 1, 2)]
+            h = np.tanh(p["hidden"] + sum(p["left"][j][x] for j, x in enumerate(near)))
+            x = h @ p["class"] + p["class_bias"]
+            y = h @ p["member"][i // masked_lm.MEMBERS] + p["member_bias"][i // masked_lm.MEMBERS]
+            own += x[i // masked_lm.MEMBERS] - np.log(np.exp(x).sum()) + y[i % masked_lm.MEMBERS] - np.log(np.exp(y).sum())
+            own += 0 if w in rank else math.log(count[w] / (total[i] + 1))
+        want.append(own)
+    for parts in (3, 40):
+        got = {r["doc_id"]: r for r in masked_lm.scored(frame.repartition(parts)).collect()}
+        assert len(got) == len(texts) and all(abs(got[k]["pll"] - x) < 1e-3 + 1e-5 * abs(x) for k, x in enumerate(want))
+
+
+def test_averages_in_levels():
+    rows = [(k, float(k + 1), np.array([k, 2.0 * k], np.float32)) for k in range(37)]
+    level, fan = [pa.table({"block": pa.array([0], pa.int32()), "part": pa.array([k], pa.int64()), "weight": pa.array([w]), "values": pa.array([v.tobytes()], pa.binary())}) for k, w, v in rows], masked_lm.FAN
+    while len(level) > 1:
+        level = [masked_lm._average(pa.concat_tables(level[a : a + fan][::-1])) for a in range(0, len(level), fan)]
+    mean = sum(w * v for _, w, v in rows) / sum(w for _, w, _ in rows)
+    assert np.allclose(np.frombuffer(level[0].column("values")[0].as_py(), np.float32), mean)
 
 
 def test_language_model_tells_words_of_one_hashed_token_apart(spark):
