@@ -158,16 +158,21 @@ def test_encoder_on_odd_texts(spark):
     assert [list(x) for x in enc.encode_all(pa.array(texts))] == [enc.whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize(("shard", "block"), [(4096, 2048), (16, 2), (200, 1)])
+def test_top_k(spark, monkeypatch, shard, block):
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", shard)
+    monkeypatch.setattr(maxscore, "QUERY_ROWS", block)
     rng = np.random.default_rng(1)
-    rows = [(k, [float(x) for x in rng.normal(0, 0.3, 8)]) for k in range(700)] + [(700, None), (701, [1.0, None]), (702, [float("nan")]), (703, []), (704, [0.5] * 3), (None, [1.0]), (705, [1e6] * 8), (706, rows_tie := [0.25] * 8), (707, rows_tie)]
+    rows = [(k, [float(x) for x in rng.normal(0, 0.3, 8)]) for k in range(400)] + [(700, None), (701, [1.0, None]), (702, [float("nan")]), (703, []), (704, [0.5] * 3), (None, [1.0]), (705, [1e6] * 8), (706, rows_tie := [0.25] * 8), (707, rows_tie)]
+    rows += [(200, [0.9] * 8), (200, [-0.9] * 8), (300, rows[300][1]), (5, rows_tie), (5, rows_tie)]
     frame = spark.createDataFrame([(i, v, 1, 1) for i, v in rows], "vec_id long, embedding array<double>, score int, id int")
-    ints = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    ints = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in ints if i % 100 == 0):
-        best = sorted((-sum(a * b for a, b in zip(ints[q], ints[i])), i) for i in ints if i != q)[:10]
+    for q in sorted({i for i, _ in ints if i % 100 == 0}):
+        own = min(v for i, v in ints if i == q)
+        best = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in ints if i != q)[:10]
         want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
     got = maxscore.top_k(frame, F.col("vec_id") % 100 == 0).collect()
     assert sorted(map(tuple, got)) == sorted(want)
@@ -175,6 +180,19 @@ def test_top_k(spark):
     assert maxscore.top_k(frame.filter("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_essential_terms_follow_the_bounds():
+    low, high = np.array([-9, -4, -2, -1]), np.array([9, 4, 2, 1])
+    assert [maxscore.essential_terms(low, high, f) for f in (16, 15, -2, -3, -11, -16, -17)] == [0, 1, 1, 2, 3, 4, 4]
+    rng = np.random.default_rng(2)
+    for _ in range(200):  # no vector can beat the floor without more than the least of the essential terms
+        low = -rng.integers(0, 50, 6)
+        high = low + rng.integers(0, 90, 6)
+        floor = int(rng.integers(-300, 300))
+        e = maxscore.essential_terms(low, high, floor)
+        assert e == 6 or low[:e].sum() + high[e:].sum() <= floor
+        assert e == 0 or low[: e - 1].sum() + high[e - 1 :].sum() > floor
+
+
 def test_secrets(spark, none):
     key = "AbCd1234EfGh5678IjKl9012MnOp3456"
     texts = {
