@@ -3,18 +3,22 @@
 Numbers and dates are found by pattern, kept only if they validate (check digits, ranges, calendar), and permuted by a keyed
 Feistel network over their own format: digits become digits, separators stay, a valid value becomes a valid value. A value
 outside the format's valid set is walked further along the cycle, so the map stays one to one on that set. The key alone
-fixes the map, so equal values stay linked across documents and across ways of writing them. Addresses of mail keep their
-domain, and their letters and digits are permuted as letters and digits.
+fixes the map, so equal values stay linked across documents and across ways of writing them: all ways of writing a day go
+through one permutation, which keeps days after the twelfth among themselves, for those tell month and day apart. Addresses
+of mail keep their domain, and their letters and digits are permuted as letters and digits, ``CHUNK`` of them as one number,
+each chunk with a permutation that depends on those before it, so names of any length take time in proportion.
 
 Defined results: a null or empty text stays as it is and has no values; of overlapping matches the one that begins first is
 taken, of those the kind listed first; of an account number's match that fails, the longest valid part up to a space is
 taken; numbers that fail validation stay, and the search goes on from their second character; repeated rows get the same text; null ids are
-kept; an empty table gives an empty result; other columns are not read.
+kept; an empty table gives an empty result; very long texts are read whole; other columns are not read. Whoever has the key
+can undo the map, so there is no default: a missing or empty key is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 from datetime import date
@@ -28,16 +32,15 @@ from .common import slices
 ROUNDS = 10
 #: Days that a date may fall on, first and last.
 DAYS = (date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal())
-DEFAULT_KEY = b"dcbspark pseudonyms"
+#: Letters or digits of a mail name that are permuted as one number.
+CHUNK = 24
 
 
 def feistel(value: int, size: int, key: bytes, tweak: bytes) -> int:
     """A keyed permutation of 0 .. size - 1: an alternating Feistel network over a x b >= size, walked back into the range."""
     if size < 2:
         return value
-    a = int(size**0.5)
-    while a * a < size:
-        a += 1
+    a = math.isqrt(size - 1) + 1
     b = -(-size // a)
     while True:
         left, right = divmod(value, b)  # left < a, right < b
@@ -144,29 +147,38 @@ def calendar(text: str, key: bytes) -> str | None:
     n = _day(a, b, c) if first_year else _day(c, a, b) if month_first else _day(c, b, a)
     if n is None:
         return None
-    keep = (lambda v: date.fromordinal(DAYS[0] + v).day > 12) if month_first else (lambda v: True)
-    new = date.fromordinal(DAYS[0] + _walk(n - DAYS[0], DAYS[1] - DAYS[0] + 1, key, b"day" + bytes([month_first]), keep))
-    parts = [f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"] if first_year else [f"{new.month:02d}", f"{new.day:02d}", f"{new.year:04d}"] if month_first else [f"{new.day:02d}", f"{new.month:02d}", f"{new.year:04d}"]
+    late = lambda v: date.fromordinal(DAYS[0] + v).day > 12
+    own = late(n - DAYS[0])
+    new = date.fromordinal(DAYS[0] + _walk(n - DAYS[0], DAYS[1] - DAYS[0] + 1, key, b"day", lambda v: late(v) == own))
+    year, month, day = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
+    parts = (year, month, day) if first_year else (month, day, year) if month_first else (day, month, year)
     marks = re.findall(r"[^\d]", text)
     return parts[0] + marks[0] + parts[1] + marks[1] + parts[2]
 
 
+def _letters(found: str, alphabet: str, key: bytes) -> str:
+    """A string over an alphabet permuted chunk by chunk, each under the chunks before it."""
+    out, seen, place = [], hashlib.blake2b(key=key, digest_size=16), {c: k for k, c in enumerate(alphabet)}
+    for at in range(0, len(found), CHUNK):
+        chunk, value = found[at : at + CHUNK], 0
+        for c in chunk:
+            value = value * len(alphabet) + place[c]
+        value, new = feistel(value, len(alphabet) ** len(chunk), key, b"mail" + (seen.digest() if at else b"")), []
+        for _ in chunk:
+            value, k = divmod(value, len(alphabet))
+            new.append(alphabet[k])
+        out += reversed(new)
+        seen.update(chunk.encode())
+    return "".join(out)
+
+
 def mail(text: str, key: bytes) -> str | None:
     """Letters and digits before the @, each within its own alphabet and case; a name and the domain are permuted as one."""
     name, _, domain = text.rpartition("@")
     out = name
     for alphabet in ("0123456789", "abcdefghijklmnopqrstuvwxyz"):
-        found = [c.lower() for c in out if c.lower() in alphabet]
-        if found:
-            value = 0
-            for c in found:
-                value = value * len(alphabet) + alphabet.index(c)
-            value, new = feistel(value, len(alphabet) ** len(found), key, b"mail"), []
-            for _ in found:
-                value, k = divmod(value, len(alphabet))
-                new.append(alphabet[k])
-            it = iter(reversed(new))
-            out = "".join((next(it).upper() if c.isupper() else next(it)) if c.lower() in alphabet else c for c in out)
+        it = iter(_letters("".join(c for c in out.lower() if c in alphabet), alphabet, key))
+        out = "".join((next(it).upper() if c.isupper() else next(it)) if c.lower() in alphabet else c for c in out)
     return f"{out}@{domain}"
 
 
@@ -220,8 +232,10 @@ def _run(key: bytes, carry: int):
     return run
 
 
-def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Carried columns with text (replaced), n_values, a count for each kind, and spans (``kind:start:end`` of the original)."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     rows = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     return rows.mapInArrow(_run(key, len(carry)), ", ".join([*fields, "text string, n_values long", *(f"n_{n} long" for n in _BY_NAME), "spans string"]))

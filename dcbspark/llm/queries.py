@@ -50,8 +50,13 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(documents(spark, sf_dir), pieces.default_model(spark), keep_ids=False)
 
 
+#: The key of the registered query's pseudonyms where ``dcbspark.pseudonyms.key`` is unset: it is public, so for tests only.
+TEST_KEY = "a public key for tests"
+
+
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(documents(spark, sf_dir))
+    key = spark.conf.get("dcbspark.pseudonyms.key", None) or TEST_KEY
+    return pseudonyms.pseudonymised(documents(spark, sf_dir), key.encode())
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,9 +286,85 @@ def test_pseudonyms(docs, none, spark):
     assert new.endswith("192.168.1.1 4041894974608796 999-45-6789") and len(spans) == 8
     assert all(pseudonyms.replaced(new, b"key")[1][k] == v for k, v in counts.items())
     assert pseudonyms.replaced(text, b"other")[0] != new
-    got = pseudonyms.pseudonymised(docs).collect()
+    got = pseudonyms.pseudonymised(docs, b'key').collect()
     assert sorted((r["text"] or "" for r in got)) == sorted(t or "" for _, t in ROWS) and len(got) == len(ROWS)
-    assert pseudonyms.pseudonymised(none).count() == 0
+    assert pseudonyms.pseudonymised(none, b'key').count() == 0
+
+
+def test_a_day_keeps_one_pseudonym_however_it_is_written():
+    import datetime as dt
+
+    key, seen = b"k", set()
+    for n in range(0, 73_000, 37):
+        d = dt.date(1900, 1, 1) + dt.timedelta(n)
+        ways = [f"{d:%Y-%m-%d}", f"{d:%Y/%m/%d}", f"{d:%d/%m/%Y}", f"{d:%d.%m.%Y}", f"{d.day}-{d.month}-{d.year}"] + [f"{d:%m/%d/%Y}"] * (d.day > 12)
+        new = [pseudonyms.calendar(w, key) for w in ways]
+        read = [dt.date.fromisoformat(w.replace("/", "-")) for w in new[:2]]
+        read += [dt.date(*map(int, reversed(w.replace("/", "-").replace(".", "-").split("-")))) for w in new[2:5]]
+        read += [dt.datetime.strptime(w, "%m/%d/%Y").date() for w in new[5:]]
+        assert len(set(read)) == 1 and read[0] not in seen and read[0].year in range(1900, 2100)
+        assert (read[0].day > 12) == (d.day > 12)
+        seen.add(read[0])
+
+
+def test_pseudonyms_of_very_long_names():
+    import time
+
+    began, got = time.time(), {}
+    for n in [*range(1, 60), 218, 250, 100_000]:
+        text = "x " * 100 + "ab" * (n // 2) + "c" * (n % 2) + "7@host.example.com" + " y" * (500_000 if n == 250 else 5)
+        new, counts, _ = pseudonyms.replaced(text, b"key")
+        assert counts == {"mail": 1} and len(new) == len(text) and new != text and new.endswith("@host.example.com" + " y" * (500_000 if n == 250 else 5))
+        got[n] = new.split("@")[0]
+    assert len(set(got.values())) == len(got) and time.time() - began < 20
+    one, two = (pseudonyms.mail("a" * 24 + x * 30 + "@h.org", b"key") for x in "bc")
+    assert one[:24] == two[:24] and one[24:] != two[24:]
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymised(None, b"")
+
+
+def test_pseudonyms_of_a_whole_table(spark):
+    """Against plain rules: nothing outside the spans moves, values keep their form and validity, equal ones get equal
+    pseudonyms and others different ones, and every mail address and every card number by itself is replaced."""
+    import re
+
+    from conftest import SF
+
+    from dcbspark.llm import queries
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op8_pseudonyms(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    maps, n = collections.defaultdict(dict), 0
+    for r in rows:
+        old, new = texts[r["doc_id"]], r["text"] or ""
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        assert len(spans) == r["n_values"]
+        at = now = 0
+        for kind, a, b in spans:
+            assert old[at:a] == new[now : now + a - at]
+            now += a - at
+            x = old[a:b]
+            # addresses of networks and days may be written longer or shorter
+            form = {"network": r"\d+(\.\d+){3}", "calendar": r"\d+[-/.]\d+[-/.]\d+"}.get(kind)
+            y = re.compile(form).match(new, now)[0] if form else new[now : now + b - a]
+            at, now = b, now + len(y)
+            plain = (lambda t: re.sub(r"[^A-Za-z0-9@]", "", t)) if form is None else (lambda t: t)
+            assert maps[kind].setdefault(plain(x), plain(y)) == plain(y)
+            assert form or all(p == q or (p.isdigit() and q.isdigit()) or (p.isalpha() and q.isalpha() and p.isupper() == q.isupper()) for p, q in zip(x, y, strict=True))
+            if kind == "card":
+                digits = [int(c) for c in reversed(re.sub(r"\D", "", y))]
+                assert sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
+            n += 1
+        assert old[at:] == new[now:]
+        covered = {k for _, a, b in spans for k in range(a, b)}
+        for m in re.finditer(r"(?<![\w.+-])[A-Za-z][A-Za-z0-9.]*@[a-z]+(?:\.[a-z]+)+", old):
+            assert set(range(m.start(), m.end())) <= covered
+        for m in re.finditer(r"(?<![\w.+ -])\d{16}(?![\w.-])", old):
+            digits = [int(c) for c in reversed(m[0])]
+            if sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0 and len(set(m[0])) > 1:
+                assert m.start() in covered
+    assert n and all(len(set(m.values())) == len(m) for kind, m in maps.items() if kind != "calendar")
 
 
 @pytest.mark.parametrize("number", ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201"])
