@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, set to a new temporary folder only where unset."""
@@ -43,8 +44,16 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+#: Parts into which a hot key's rows are dealt.
+SALTS = 8
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, spread: str, how: str = "inner") -> DataFrame:
+    """A join on one column whose values may each hold very many rows of ``left``, which are dealt by ``spread`` to ``SALTS``
+    parts; ``right`` has one row a value and is repeated for each part, so it should be the smaller side."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return left.withColumn("__salt", salt).join(right.withColumn("__salt", every), [on, "__salt"], how).drop("__salt")
 
 
 def byte_words(text: str | None) -> list[bytes]:

@@ -101,12 +101,41 @@ def test_near(docs, none, words):
     assert near_dup.near_groups(none).count() == 0
 
 
-def test_near_blocks_find_what_stars_miss(docs, monkeypatch):
+@pytest.mark.parametrize(("start", "deepest", "small", "block"), [(1, 1, 0, 2), (1, 2, 3, 5), (2, 5, 0, 1024)])
+def test_near_levels_and_groups(docs, monkeypatch, start, deepest, small, block):
     monkeypatch.setattr(near_dup, "STARS", 1)
-    got = near_dup.near_groups(docs, words=2, block=2).collect()
+    monkeypatch.setattr(near_dup, "START", start)
+    monkeypatch.setattr(near_dup, "DEEPEST", deepest)
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    got = near_dup.near_groups(docs, words=2, block=block).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute_near(ROWS, 2)
 
 
+@pytest.mark.parametrize(("start", "small"), [(3, 64), (1, 0)])
+def test_near_recall_at_the_limit(spark, monkeypatch, start, small):
+    """Pairs just above the limit, most of them linked at a shallow level and all of them forced to the deepest."""
+    monkeypatch.setattr(near_dup, "START", start)
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    rng, rows, pairs = np.random.default_rng(3), [], 250
+    for k in range(pairs):
+        words = [f"{x}" for x in rng.integers(0, 50_000, 120)]
+        other = list(words)
+        for at in range(0, 12 * 6, 12):  # each changes two shingles of two words
+            other[at + 3] = f"y{k}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    sets = [{(a, b) for a, b in zip(w, w[1:])} for w in (t.split() for _, t in rows)]
+    alike = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(pairs)]
+    assert all(0.8 <= s <= 0.85 for s in alike)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(pairs)) >= 0.99 * pairs and all(got[i] in (i, i - 1) for i in got)
+
+
+def test_rows_of_one_id_that_are_alike(spark):
+    text = " ".join(f"a{k}" for k in range(100))
+    got = near_dup.near_groups(spark.createDataFrame([(7, text), (7, f"{text} x"), (8, text)], "doc_id long, text string")).collect()
+    assert [(r["component_id"], r["kept"]) for r in sorted(got)] == [(7, True), (7, True), (7, False)] and len({r["component"] for r in got}) == 1
+
+
 def test_token_shards(docs, none, spark):
     from tokenizers import Tokenizer
 
