@@ -14,7 +14,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,21 +27,70 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that :func:`materialise` wrote and nobody has removed yet, in order.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again, so that later jobs neither repeat nor lose its work."""
+    """``df`` written as Parquet to the shared folder and read again, so that later jobs neither repeat nor lose its work. The
+    folder goes by :func:`drop_written`, :func:`drop_since` or, at the latest, as the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.unregister(_at_exit)
+        atexit.register(_at_exit, spark)  # runs before the session's own end, which was registered earlier
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        drop_since(spark, 0)
+
+
+def written() -> int:
+    """A mark for :func:`drop_since`."""
+    return len(_WRITTEN)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Remove the tables written since a mark but for the newest ``keep``: for when all plans that read them have run."""
+    gone = _WRITTEN[mark : len(_WRITTEN) - keep]
+    del _WRITTEN[mark : len(_WRITTEN) - keep]
+    for folder in gone:
+        _remove(spark, folder)
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove the files of a table that :func:`materialise` wrote and that no later plan reads."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _remove(df.sparkSession, folder)
+        name = folder.rpartition("/")[2]
+        _WRITTEN[:] = [w for w in _WRITTEN if w.rpartition("/")[2] != name]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1 and so on, so that no column clashes with an operator's own."""
+    return df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)))
+
+
+def renamed(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    """Columns c0, c1 and so on under their ``names`` again, then others."""
+    return df.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), *more)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores after it until none of the taken names is the same."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 #: Parts into which a hot key's rows are dealt.

@@ -1,13 +1,16 @@
 """Exact deduplication by content sort.
 
 Rows are range-partitioned by sampled splitters over (first bytes of the normalised text, SHA-256 of it, id), each partition
-is sorted externally so that equal texts lie side by side, and every normalised text is compared in full with its neighbour. The id is
-part of the splitters, so a text that holds a third of all rows is cut over many partitions; what the cuts separate is put
-together again from two rows a partition. Splitters hold at most ``PREFIX`` + 40 bytes, however long the texts are.
+is sorted externally so that equal texts lie side by side, and every normalised text is compared in full with its neighbour.
+The digest only orders texts that begin with the same ``PREFIX`` bytes: with whole texts as keys the sampled splitters, which
+the driver holds, would grow with the texts. The id is part of the splitters, so a text that holds a third of all rows is cut
+over many partitions; what the cuts separate is put together again from two narrow rows a partition, and whole texts are
+compared across a cut only where the digests on both sides are equal, each pair in a task of its own.
 
 Defined results: a null text counts as empty, empty texts are equal to each other; rows repeated with the same id form one
 group of that many rows and each of them says whether its id stays (``kept`` is true on one row only, the first of the equal
-ids); a null id is smaller than any other; other columns are not read; an empty table gives an empty result.
+ids); a null id is smaller than any other; very long texts are compared whole; other columns may have any names and are not
+read but by :func:`exact_kept`, which returns them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import materialise
+from .common import materialise, numbered, renamed
 
 #: Bytes of the normalised text that lead the sort key.
-PREFIX = 24
+PREFIX = 64
 
 _MARKS = [T.StructField(n, t) for n, t in (("__part", T.IntegerType()), ("__run", T.LongType()), ("__nth", T.LongType()), ("__edge", T.StringType()))]
 
@@ -104,12 +107,19 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, carry: list[str],
 
 
 def _chains(runs: DataFrame) -> DataFrame:
-    """The first and the last run of each partition, two rows a partition at most, with the chain of equal texts that they
-    belong to and their place in it."""
+    """The first and the last run of each partition, two narrow rows a partition at most, with the chain of equal texts that
+    they belong to and their place in it."""
     line = W.Window.orderBy("__part", "__run")
-    edges = runs.filter("__edge is not null").select("__part", "__run", "__edge", F.col("__id").alias("head"))
-    edges = edges.withColumn("new", (~F.col("__edge").eqNullSafe(F.lag("__edge").over(line))).cast("long")).withColumn("chain", F.sum("new").over(line)).drop("__edge", "new")
-    return edges.withColumn("place", F.row_number().over(W.Window.partitionBy("chain").orderBy("__part", "__run")))
+    edges = runs.filter("__edge is not null")
+    narrow = edges.select("__part", "__run", "__digest", F.col("__id").alias("head"))
+    before = lambda c: F.lag(c).over(line)
+    near = narrow.select("__part", "__run", before("__part").alias("part"), before("__run").alias("run"), before("__digest").alias("digest"), "__digest")
+    near = near.filter(F.col("digest") == F.col("__digest")).select("__part", "__run", "part", "run")
+    texts = edges.select("__part", "__run", "__edge")
+    other = texts.select(F.col("__part").alias("part"), F.col("__run").alias("run"), F.col("__edge").alias("edge"))
+    equal = near.join(texts, ["__part", "__run"]).join(other, ["part", "run"]).filter(F.col("edge") == F.col("__edge")).select("__part", "__run", F.lit(0).cast("long").alias("new"))
+    chained = narrow.drop("__digest").join(equal, ["__part", "__run"], "left").withColumn("chain", F.sum(F.coalesce("new", F.lit(1).cast("long"))).over(line)).drop("new")
+    return chained.withColumn("place", F.row_number().over(W.Window.partitionBy("chain").orderBy("__part", "__run")))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", partitions: int | None = None) -> DataFrame:
@@ -133,7 +143,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", partitions: int | None = None) -> DataFrame:
     """The whole rows of ``docs`` that stay, one of each group of equal texts."""
-    heads = _sorted_runs(docs, id_col, text_col, docs.columns, True, keep, partitions)
+    names = docs.columns
+    own = {c: f"c{k}" for k, c in enumerate(names)}
+    heads = _sorted_runs(numbered(docs), own[id_col], own[text_col], [*own.values()], True, keep, partitions)
     # Heads that continue a run of an earlier partition: two rows a partition at most, so small enough to broadcast.
     again = _chains(heads).filter("place > 1").select("__part", "__run")
-    return heads.join(F.broadcast(again), ["__part", "__run"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return renamed(heads.join(F.broadcast(again), ["__part", "__run"], "left_anti"), names)
