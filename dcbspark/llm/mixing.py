@@ -7,12 +7,14 @@ over a source, and one more in which the source's blocks, about ``BLOCK_TOKENS``
 taken in a permuted order until the quota is spent; in the block where it ends, documents are taken by a second hash.
 
 A document's copies follow from its own hashes and a few numbers of its source, so no text is moved. Sums are pre-aggregated
-by block, so a source with a third of all rows is never gathered; the only window over rows is inside the one block of a
-source where its quota ends. The bisection folds over one array with a number for each source.
+by block and blocks by ``GROUP`` of them, so a source with a third of all rows is never gathered: a window runs over the
+groups of a source, then over the blocks of the one group in which its quota ends, then over the documents of that block.
+The bisection folds over one array with a number for each source, so sources should number in the thousands, not more.
 
 Defined results: null texts count as empty and have no tokens; a null source is the source ''; documents of a source
 without tokens cost nothing and are taken once; rows with one id share their hashes and are taken or left together; an
-empty table gives an empty result; added columns start with two underscores, so other columns do not clash.
+empty table gives an empty result; very long texts are counted whole; :func:`mixed` returns columns of any names, while
+:func:`hashed` adds columns with two underscores that must not be there yet.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialise
+from .common import materialise, numbered, renamed
 
 BLOCK_TOKENS = 20_000
+#: Blocks whose sums are added up first.
+GROUP = 4096
 #: Share of the highest entropy that the weights are to reach.
 ENTROPY = 0.95
 #: Halvings of the exponent's interval.
@@ -78,10 +82,16 @@ def plan(rows: DataFrame, entropy: float | None = ENTROPY, repeats: float | None
     weighted = materialise(weighted.withColumn("__blocks", F.ceil(F.col("t") / F.lit(BLOCK_TOKENS))), "mix-weights")
 
     placed = rows.join(weighted, "__source").withColumn("place", _place(F.col("__h"), F.col("__blocks")))
-    blocks = placed.groupBy("__source", "place").agg(F.sum("__tokens").alias("b"), F.first("rest").alias("rest"))
-    line = W.Window.partitionBy("__source").orderBy("place").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    ends = blocks.withColumn("sum", F.sum("b").over(line)).filter(F.col("sum") > F.col("rest"))
-    cut = ends.groupBy("__source").agg(F.min("place").alias("__cut_place"), F.min_by(F.col("rest") - F.col("sum") + F.col("b"), "place").alias("left"))
+    blocks = materialise(placed.groupBy("__source", "place").agg(F.sum("__tokens").alias("b"), F.first("rest").alias("rest")).withColumn("group", F.floor(F.col("place") / GROUP)), "mix-blocks")
+
+    def ends(rows: DataFrame, at: str) -> DataFrame:
+        """Where the running sum of a source first exceeds its rest, and how much of the rest is left there."""
+        line = W.Window.partitionBy("__source").orderBy(at).rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+        over = rows.withColumn("sum", F.sum("b").over(line)).filter(F.col("sum") > F.col("rest"))
+        return over.groupBy("__source").agg(F.min(at).alias(at), F.min_by(F.col("rest") - F.col("sum") + F.col("b"), at).alias("left"))
+
+    group = ends(blocks.groupBy("__source", "group").agg(F.sum("b").alias("b"), F.first("rest").alias("rest")), "group")
+    cut = ends(blocks.drop("rest").join(group.withColumnRenamed("left", "rest"), ["__source", "group"]), "place").withColumnRenamed("place", "__cut_place")
     inside = placed.select("__source", "place", "__g", "__tokens").join(cut.withColumnRenamed("__cut_place", "place"), ["__source", "place"])
     inside = inside.groupBy("__source", "__g").agg(F.sum("__tokens").alias("n"), F.first("left").alias("left"))
     by_hash = W.Window.partitionBy("__source").orderBy("__g").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
@@ -116,7 +126,9 @@ def copies(rows: DataFrame, planned: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
-    rows = hashed(docs, id_col, text_col, source_col)
+    names = docs.columns
+    own = {c: f"c{k}" for k, c in enumerate(names)}
+    rows = hashed(numbered(docs), own[id_col], own[text_col], own[source_col])
     narrow = materialise(rows.select("__source", "__h", "__g", "__tokens"), "mix-rows")
     taken = copies(rows.drop("__tokens"), plan(narrow, **targets))
-    return taken.filter(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return renamed(taken.filter(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))), names)
