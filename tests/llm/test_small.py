@@ -28,12 +28,14 @@ def near_text(k):
 
 ROWS = [(1, "Hello World"), (2, "hello world"), (3, "HELLO wORLD"), (4, ""), (5, None), (6, "É"), (7, "é"), (8, LONG), (9, LONG.upper()), (None, "hello world"), (10, "one"), (10, "one"), (11, "a  b\n c ▁ d"), (12, " "), (13, "日本語 テキスト 😀")]
 ROWS += [(100 + k, near_text(k)) for k in range(36)]
-SCHEMA = "doc_id long, text string, lang string, source string, kept string, id long, label int, __x int"
+#: After the columns of documents, names that operators use within.
+CLASHES = ("kept", "id", "label", "__x", "__id", "__source", "__score", "__toxic", "__lang", "__text", "__part", "c0", "place", "__copies", "a.b")
+SCHEMA = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in CLASHES)
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "en", None if i is None else f"s{i % 3}", "k", 7, 1, 0) for i, t in ROWS]
+    rows = [(i, t, "en", None if i is None else f"s{i % 3}", *range(len(CLASHES))) for i, t in ROWS]
     return spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
 
 
@@ -65,6 +67,28 @@ def test_exact(docs, none, keep, parts):
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.exact_kept(none).count() == 0
 
 
+def test_mixing_blocks_in_two_levels(spark, monkeypatch):
+    """A quota that ends in any group and block of a source is met document by document."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    rows = spark.createDataFrame([(k, "w " * (1 + k % 7), "hot" if k % 4 else f"s{k % 3}") for k in range(2000)], "doc_id long, text string, source string")
+    held = mixing.hashed(rows)
+    for budget in (900, 3000, 7900, 20_000):
+        taken = mixing.copies(held, mixing.plan(held, budget=budget)).collect()
+        for s in {r["__source"] for r in taken}:
+            own = [r for r in taken if r["__source"] == s]
+            spent = sum(r["__copies"] * r["__tokens"] for r in own)
+            assert own[0]["__weight"] * budget - 8 <= spent <= own[0]["__weight"] * budget
+            more = [(r["__place"], r["__g"]) for r in own if r["__copies"] > own[0]["__passes"]]
+            assert not more or all(r["__copies"] > own[0]["__passes"] for r in own if (r["__place"], r["__g"]) <= max(more))
+
+
+def test_equal_digests_of_different_texts_are_told_apart_across_cuts(spark):
+    frame = spark.createDataFrame([(0, 0, 0, b"d", "x", 1), (1, 0, 0, b"d", "y", 2), (1, 1, 0, b"e", "z", 3), (2, 0, 0, b"e", "z", 4)], "__part int, __run long, __nth long, __digest binary, __edge string, __id long")
+    got = {(r["__part"], r["__run"]): (r["chain"], r["place"]) for r in exact_dedup._chains(frame).collect()}
+    assert got[0, 0][0] != got[1, 0][0] and got[1, 1][0] == got[2, 0][0] and got[2, 0][1] == 2
+
+
 def test_exact_run_over_batches_and_cuts(spark):
     rows = spark.createDataFrame([(k, "Same" if k % 3 else f"t{k}") for k in range(900)], "doc_id long, text string")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
@@ -513,5 +537,52 @@ def test_toxicity(docs, none, spark):
     model = toxicity.trained(frame, labels)
     rows = toxicity.scored(frame, model).filter("doc_id >= 300").collect()
     assert np.mean([r["__toxic"] == (r["doc_id"] % 4 == 0) for r in rows]) > 0.97 and all(0 <= r["__score"] <= 1 for r in rows)
-    assert toxicity.scored(docs, model).count() == len(ROWS) and toxicity.scored(none, model).count() == 0
+    clashing = toxicity.scored(docs, model)
+    assert clashing.columns == [*docs.columns, "__score_", "__toxic_"] and clashing.count() == len(ROWS) and toxicity.scored(none, model).count() == 0
+    assert all(r["__score"] == CLASHES.index("__score") for r in clashing.collect())
     assert toxicity.trained(frame, labels.limit(0)) is None and toxicity.scored(frame, None).filter("__toxic").count() == 0
+
+
+def dense_score(model, text):
+    """The network word by word, as the module describes it."""
+    xxh, words = toxicity.xxhash.xxh32_intdigest, (text or "").encode().lower().decode().split()
+    vectors = []
+    for w in words:
+        w = w.strip(toxicity.MARKS) or w
+        held = [w, *(f"{w[:n]}*" for n in toxicity.STEMS if len(w) > n)]
+        vectors.append(sum(model.table[xxh(x) % (toxicity.BUCKETS - 1) + 1].astype(np.float64) for x in held))
+    pooled = []
+    for k, (width, w) in enumerate(zip(toxicity.WIDTHS, model.filters, strict=True)):
+        for f in range(toxicity.FILTERS):
+            at = [sum(vectors[i + j] @ w[j, :, f] for j in range(width) if i + j < len(words)) for i in range(len(words))]
+            pooled.append(max(0.0, max(at) + model.bias[k * toxicity.FILTERS + f]) if at else 0.0)
+    return 1 / (1 + math.exp(-float(np.array(pooled) @ model.out[:-1] + model.out[-1])))
+
+
+def test_toxicity_against_dense_scores(spark):
+    """The query's rows: scores by the same parameters, word by word; flags by language; what is held out is never fitted."""
+    from conftest import SF
+    from pyspark.sql import functions as F
+
+    from dcbspark.llm import queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held_out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    fitted = labels.filter(F.col("doc_id").isin([r["doc_id"] for r in labels.collect() if not held_out(r["doc_id"])]))
+    model = toxicity.trained(docs, fitted)
+    texts = {r["doc_id"]: r for r in docs.collect()}
+    rows = queries.op2_toxicity(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        want = dense_score(model, texts[r["doc_id"]]["text"])
+        assert abs(r["score"] - want) < 1e-4 and r["held_out"] == held_out(r["doc_id"])
+        assert r["predicted"] == int(r["score"] >= 0.5) and r["flagged"] == (r["score"] >= model.thresholds.get(texts[r["doc_id"]]["lang"], model.common))
+
+
+def test_toxicity_fits_one_row_an_id(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda *a: fitted.append(a))
+    rows = [(1, f"text {k}", "en") for k in range(500)] + [(2, "x" * (toxicity.FITTED + 1), "en"), (3, "short", None)]
+    toxicity.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, toxic int"))
+    assert [len(x) for x in fitted[0]] == [2, 2, 2] and fitted[0][1] == [1, 0]
