@@ -7,8 +7,8 @@ in its class. A document's score is the sum of the conditional log-probabilities
 The vocabulary comes from exact counts of all words of the corpus: the most frequent words are tokens of their own, in
 classes by rank, and every other word falls into one of ``RARE`` hashed tokens. Such a word's own probability within its
 token is n / (N + 1), of its count n and the token's N in the corpus, and 1 / (N + 1) is left for all unseen words. Counts of
-the ``KNOWN`` most frequent words are broadcast, those of all others joined by word, and no task holds them. So the score is
-that of the words, however many there are.
+the most frequent words, ``KNOWN`` at most and with all of one count or none, are broadcast, those of all others joined by
+word, and no task holds them. So the score is that of the words, however many there are.
 
 Texts are turned into token ids once, written, and dealt by a hash of row and ids to shards of about ``SHARD_TOKENS``, however
 the input is partitioned. Every shard runs gradient steps over its texts, whole and in order of their hash, and the shards'
@@ -41,14 +41,14 @@ MEMBERS = 64
 VOCABULARY = CLASSES * MEMBERS
 #: Hashed tokens for words beyond the most frequent; one more token is the outside of a text.
 RARE = 1024
-#: Most frequent words whose counts every worker knows.
+#: Most frequent words whose counts every worker knows, at most.
 KNOWN = 1 << 17
 SIDE = 2
 HIDDEN = 16
 #: Rounds of training, among which the positions of each text are dealt in turn.
 ROUNDS = 2
-RATE = 0.5
-BATCH = 8192
+RATE = 0.8
+BATCH = 16384
 #: Tokens among which steps are drawn in random order, at least.
 CHUNK = 1 << 18
 SHARD_TOKENS = 1 << 22
@@ -83,9 +83,15 @@ def initial(counts: np.ndarray, seed: int = 5) -> np.ndarray:
     return flat
 
 
-def _errors(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """In place: softmax of each row less 1 at the wanted place, over the number of rows."""
-    x -= x.max(axis=1, keepdims=True)
+def _small(p: dict) -> bool:
+    """Whether no exponential can overflow: hidden values lie in -1 .. 1, so weights and biases bound what is raised."""
+    return max(np.abs(p["class"]).sum(axis=0).max() + np.abs(p["class_bias"]).max(), np.abs(p["member"]).sum(axis=1).max() + np.abs(p["member_bias"]).max()) < 60
+
+
+def _errors(x: np.ndarray, wanted: np.ndarray, small: bool) -> np.ndarray:
+    """In place: softmax of each row less 1 at the wanted place."""
+    if not small:
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
     x /= x.sum(axis=1, keepdims=True)
     x[np.arange(len(x)), wanted] -= 1
@@ -116,8 +122,7 @@ def _hidden(p: dict, near: np.ndarray) -> np.ndarray:
 def log_probabilities(flat: np.ndarray, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
     """log p(token | its neighbours) of every token."""
     p, out = _parts(flat), np.zeros(len(ids))
-    # Hidden values lie in -1 .. 1; below this bound no exponential can overflow.
-    small = max(np.abs(p["class"]).sum(axis=0).max() + np.abs(p["class_bias"]).max(), np.abs(p["member"]).sum(axis=1).max() + np.abs(p["member_bias"]).max()) < 60
+    small = _small(p)
     for at in range(0, len(ids), 1 << 16):
         mine, h = ids[at : at + (1 << 16)].astype(np.int64), _hidden(p, near[:, at : at + (1 << 16)])
         x = h @ p["class"] + p["class_bias"]
@@ -154,7 +159,8 @@ class Trainer:
         ids, near = ids[order].astype(np.int64), near[:, order]
         h = _hidden(p, near)
         classes, members = ids // MEMBERS, ids % MEMBERS
-        x = _errors(h @ p["class"] + p["class_bias"], classes)
+        small = _small(p)
+        x = _errors(h @ p["class"] + p["class_bias"], classes, small)
         back = x @ p["class"].T
         grads = {"class": h.T @ x, "class_bias": x.sum(axis=0), "member": np.zeros_like(p["member"]), "member_bias": np.zeros_like(p["member_bias"])}
         cuts = np.searchsorted(classes, np.arange(CLASSES + 1))
@@ -163,7 +169,7 @@ class Trainer:
         for c, rows in held:
             np.matmul(h[rows], p["member"][c], out=y[rows])
             y[rows] += p["member_bias"][c]
-        _errors(y, members)
+        _errors(y, members, small)
         for c, rows in held:
             back[rows] += y[rows] @ p["member"][c].T
             grads["member"][c] = h[rows].T @ y[rows]
@@ -328,6 +334,20 @@ def _score(model, rare, carry: list[str]):
     return run
 
 
+def _least_known(counts: DataFrame) -> int:
+    """The lowest count that ``KNOWN`` words at most reach, within a 64th of it; found from a few thousand sums."""
+    # Counts below 128 stand for themselves; beyond, there are 64 steps to each power of two.
+    bits = "greatest(cast(floor(log2(n)) as int) - 6, 0)"
+    step = F.expr(f"shiftleft(shiftright(n, {bits}), {bits})")
+    least, held = 1 << 62, 0
+    for r in sorted(counts.groupBy(step.alias("n")).count().collect(), key=lambda r: -r["n"]):
+        held += r["count"]
+        if held > KNOWN:
+            break
+        least = r["n"]
+    return least
+
+
 def _columns(rows: DataFrame, names: list[str]) -> list[str]:
     return [f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names]
 
@@ -338,7 +358,7 @@ def fitted(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("d
     spark = docs.sparkSession
     rows = docs.select(*(F.col(f"`{c}`") for c in carry), F.col(f"`{text_col}`").cast("string").alias("__text"))
     counts = materialise(rows.select(F.col("__text").alias("text")).mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
-    frequent = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # at most KNOWN rows
+    frequent = sorted(counts.filter(F.col("n") >= _least_known(counts)).collect(), key=lambda r: (-r["n"], r["word"]))  # at most KNOWN rows
     vocabulary = Vocabulary([r["word"] for r in frequent], [r["n"] for r in frequent])
     share = np.zeros(VOCABULARY)
     share[: min(len(frequent), OUTSIDE)] = vocabulary.counts[:OUTSIDE]
