@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express, by other means than the operators where SQL has them."""
 
-from . import mixing, secrets
+from . import mixing
 
 _OP1 = r"""
 WITH h AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -21,36 +21,57 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+_OP6 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT r.v, e.b FROM r JOIN e ON r.c = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id, d.doc_id = min(r.c) AS kept
+FROM d JOIN r ON r.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+# The patterns as the task states them; lengths are judged after matching.
+_SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
+    ("access", r"AKIA[A-Z0-9]+", 18),
+    ("hex", r"[0-9a-f]+", 16),
+    ("token", r"[A-Za-z0-9+/=_-]+", 24),
+    ("endpoint", r"[a-z][a-z0-9+.-]*://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", 0),
+)
+
+
 def _op4() -> str:
+    """Parts by position; weak ones count if a part of the other kind lies within 300 code points, found by joins of intervals."""
     found = []
-    for k, (name, pattern) in enumerate(zip(secrets.KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.TOKEN, secrets.ENDPOINT), strict=True)):
+    for k, (name, pattern, least) in enumerate(_SECRETS):
         p = _quoted(pattern)
-        value = f"regexp_extract_all(t, {p}, 2)" if name == "assign" else f"regexp_extract_all(t, {p}, 0)"
-        found.append(f"SELECT r, {k} AS kind, regexp_split_to_array(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS found, {value} AS vals FROM d" + (" WHERE contains(t, 'AKIA')" if k > 2 else ""))
-    base, reach = "kind <= 2", secrets.REACH
-    up, down = "(PARTITION BY r ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "(PARTITION BY r ORDER BY start, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
-
-    def near(cond: str) -> str:
-        return f"(coalesce(start - max(CASE WHEN {cond} THEN \"end\" END) OVER {up} <= {reach}, false) OR coalesce(min(CASE WHEN {cond} THEN start END) OVER {down} - \"end\" <= {reach}, false))"
-
-    names = ", ".join(f"'{k}'" for k in secrets.KINDS)
+        found.append(
+            f"SELECT r, {k} AS kind, {least} AS least, regexp_split_to_array(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS found, regexp_extract_all(t, {p}, {2 if name == 'assign' else 0}) AS vals FROM d"
+            + (" WHERE contains(t, 'AKIA')" if k > 2 else "")
+        )
+    names = ", ".join(f"'{n}'" for n, _, _ in _SECRETS)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
 f AS ({" UNION ALL ".join(found)}),
-u AS (SELECT r, kind, unnest(range(1, len(found) + 1)) AS i, gaps, found, vals FROM f WHERE len(found) > 0),
-m AS (SELECT r, kind, i, length(gaps[i]) AS gap, length(found[i]) AS size, length(vals[i]) AS val, found[i] AS txt FROM u),
-e AS (SELECT *, sum(gap + size) OVER (PARTITION BY r, kind ORDER BY i) AS "end" FROM m),
-p AS (SELECT r, kind, ("end" - size) AS start, "end" FROM e
-      WHERE kind IN (1, 2, 4) OR (kind = 0 AND val >= 12) OR (kind = 3 AND regexp_matches(txt, '[A-Z]') AND regexp_matches(txt, '[a-z]') AND regexp_matches(txt, '[0-9]'))),
-s AS (SELECT *, {near("kind = 1")} AS by_access, {near("kind IN (0, 3)")} AS by_secret,
-      coalesce(max(CASE WHEN {base} THEN "end" END) OVER {up} > start, false) OR coalesce(min(CASE WHEN {base} THEN start END) OVER {down} < "end", false) AS covered FROM p),
-n AS (SELECT *, concat_ws(':', ([{names}])[kind + 1], start, "end") AS name, {base} AS b, ((kind = 3 AND by_access) OR (kind = 4 AND by_access AND by_secret)) AND NOT covered AS l FROM s),
+u AS (SELECT r, kind, least, unnest(range(1, len(found) + 1)) AS i, gaps, found, vals FROM f WHERE len(found) > 0),
+m AS (SELECT r, kind, least, i, length(gaps[i]) AS gap, length(found[i]) AS size, length(vals[i]) AS val, found[i] AS txt FROM u),
+e AS (SELECT *, sum(gap + size) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM m),
+p AS (SELECT r, kind, stop - size AS start, stop FROM e WHERE val >= least AND (kind <> 3 OR (regexp_matches(txt, '[A-Z]') AND regexp_matches(txt, '[a-z]') AND regexp_matches(txt, '[0-9]')))),
+w AS (SELECT x.r, x.kind, x.start, x.stop, bool_or(y.kind = 1) AS by_access, bool_or(y.kind IN (0, 3)) AS by_secret, bool_or(y.kind <= 2 AND y.start < x.stop AND y.stop > x.start) AS covered
+      FROM p x JOIN p y ON x.r = y.r AND NOT (x.kind = y.kind AND x.start = y.start) AND y.start - x.stop <= 300 AND x.start - y.stop <= 300 WHERE x.kind >= 3 GROUP BY ALL),
+n AS (SELECT r, kind, start, stop, true AS base FROM p WHERE kind <= 2 UNION ALL SELECT r, kind, start, stop, false FROM w WHERE by_access AND (kind = 3 OR by_secret) AND NOT covered),
 g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-      string_agg(name, ',' ORDER BY start, kind) FILTER (b) AS base, string_agg(name, ',' ORDER BY start, kind) FILTER (b OR l) AS spans FROM n GROUP BY r)
+      string_agg(concat_ws(':', ([{names}])[kind + 1], start, stop), ',' ORDER BY start, kind) FILTER (base) AS base, string_agg(concat_ws(':', ([{names}])[kind + 1], start, stop), ',' ORDER BY start, kind) AS spans FROM n GROUP BY r)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g ON d.r = g.r
 """
@@ -88,4 +109,4 @@ SELECT h.doc_id, h.source, h.n_tokens::BIGINT, 0.0::DOUBLE, 0::BIGINT, 1::BIGINT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op3_maxscore": _OP3, "op4_secret_scan": _op4(), "op9_mixing": _op9()}
+    return {"op1_exact_dedup": _OP1, "op3_maxscore": _OP3, "op4_secret_scan": _op4(), "op6_minhash_near_dedup": _OP6, "op9_mixing": _op9()}

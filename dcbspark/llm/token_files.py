@@ -125,7 +125,8 @@ class Encoder:
 
     Texts are cut at single spaces. The tokenizer never joins characters across a space between two characters that are no
     white space, so such chunks are encoded one by one and remembered; a text where white space meets a space is encoded
-    whole.
+    whole. This holds for byte-level tokenizers with the usual cutting pattern and no normalizer; with any other file every
+    text is encoded whole.
     """
 
     #: White space besides the space itself.
@@ -141,7 +142,15 @@ class Encoder:
         self.kind = np.uint16 if self.width == 2 else np.uint32
         self.special = tuple(str(t) for t in self.whole.get_added_tokens_decoder().values())
         with open(path) as f:
-            model = json.load(f)["model"]
+            held = json.load(f)
+        model, cut = held["model"], held.get("pre_tokenizer") or {}
+        #: Whether texts are cut as said above; other tokenizers encode every text whole.
+        self.cuts = (
+            model.get("type") == "BPE" and not held.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+            and not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+        )
+        if not self.cuts:
+            return
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.pieces_of = BPE(model["vocab"], merges, cache_capacity=0).tokenize
         # The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the rest follow from code point 256.
@@ -183,6 +192,8 @@ class Encoder:
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text."""
+        if not self.cuts:
+            return [np.frombuffer(self._whole(t.as_py()), self.kind) for t in texts]
         chunks, codes, starts = coded(pc.split_pattern(texts, " "))
         packed = list(map(self.chunks.__getitem__, chunks))
         lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
