@@ -32,10 +32,12 @@ from pyspark.sql import window as W
 from .common import Recent, coded, materialise, memory, shared_dir, slices
 
 MAGIC = b"TOKEF001"
+#: Marks that the tokenizer cuts off the end of a word together.
+MARKS = ".,;:!?"
 #: Every so many ones of the bitmap, select keeps the position of one.
 SELECT_EVERY = 256
-#: Bytes of each generation of a worker's chunks and of its pieces.
-REMEMBERED = 80 << 20
+#: Bytes of each generation of a worker's chunks; pieces of lines and marks have a sixteenth of it.
+REMEMBERED = 128 << 20
 HEADER = "<8sBBxxxxxxQQQQQ"  # magic, id bytes, low bits, documents, ids, bytes of low, bytes of high, samples
 
 MANIFEST = "path string, shard int, documents long, ids long"
@@ -157,7 +159,7 @@ class Encoder:
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: b if b in shown else 256 + hidden.index(b) for b in range(256)}
-        self.pieces = Recent(self._piece, 220, REMEMBERED)
+        self.pieces = Recent(self._piece, 220, REMEMBERED // 16)
         self.chunks = Recent(self._chunk, 220, REMEMBERED)
 
     def _whole(self, text: str) -> bytes:
@@ -169,19 +171,21 @@ class Encoder:
 
     def _line(self, line: str) -> bytes | None:
         """A word, after a space or not, with marks after it; None if it is anything else."""
-        word = line.rstrip(".,;:!?")
+        word = line.rstrip(MARKS)
         if (word[1:] if word[:1] == " " else word).isalpha():
             return self.pieces[word] + self.pieces[line[len(word) :]] if len(word) < len(line) else self.pieces[word]
         return None
 
     def _chunk(self, chunk: str) -> bytes:
-        """A chunk with the space before it: lines of such words, or whatever else."""
-        chunk = " " + chunk
+        """A chunk with the space before it: a word with marks after it, lines of such words, or whatever else."""
+        word = chunk.rstrip(MARKS)
+        if word.isalpha():
+            return self._piece(" " + word) if len(word) == len(chunk) else self.chunks[word] + self.pieces[chunk[len(word) :]]
         if "\n" in chunk:  # one line end between two others that are no white space is a piece of its own
-            lines = [x and self._line(x) for x in chunk.split("\n")]
-            return self.pieces["\n"].join(lines) if all(lines) else self._whole(chunk)
-        known = self._line(chunk)
-        return self._whole(chunk) if known is None else known
+            lines = [x and self._line(x) for x in f" {chunk}".split("\n")]
+            if all(lines):
+                return self.pieces["\n"].join(lines)
+        return self._whole(" " + chunk)
 
     def apart(self, text: str) -> bool:
         """White space meets a space, or a special token's string occurs: to be encoded whole."""
