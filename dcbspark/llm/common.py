@@ -144,18 +144,42 @@ _MEMORY: dict[tuple, Any] = {}
 
 def memory(*key: Any, make: Callable[[], Any]) -> Any:
     """What an operator remembers in this worker under a key (its name and a model or file). What another operator or key
-    left behind is let go first, and freed memory goes back to the system."""
+    left behind is let go first."""
     if key not in _MEMORY:
-        _MEMORY.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        forget()
         _MEMORY[key] = make()
     return _MEMORY[key]
 
 
+def forget() -> None:
+    """Let all memories go."""
+    if _MEMORY:
+        _MEMORY.clear()
+        gc.collect()
+        _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], remember: bool = True):
+    """A task's function that gives freed memory back at its end, and all it remembers unless the next task is to have it:
+    Spark keeps more workers than run at a time, and an idle one holds on to what it has."""
+
+    def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(rows)
+        if not remember:
+            forget()
+        _give_back()
+
+    return task
+
+
 #: Bytes, as estimated, that one memory may hold, and the longest string that is remembered.
 MOST_BYTES = 64 << 20
 LONGEST = 64
