@@ -54,8 +54,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, scores and checksums of its N best segmentations, and whether the ids decode to its text."""
-    return pieces.encoded(docs, pieces.default_model(spark), carry=("doc_id", "lang", "source")).select("doc_id", "lang", "source", "n_tokens", "ids", "score", "nbest_scores", "nbest_crc32", "round_trip")
+    """Piece ids of every document, scores and checksums of its N best segmentations, and whether the ids decode to its text.
+    Workers have served other stages before, so each task gives its memory back."""
+    return pieces.encoded(docs, pieces.default_model(spark), carry=("doc_id", "lang", "source"), remember=False).select("doc_id", "lang", "source", "n_tokens", "ids", "score", "nbest_scores", "nbest_crc32", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
