@@ -156,10 +156,10 @@ def forget() -> None:
     if _MEMORY:
         _MEMORY.clear()
         gc.collect()
-        _give_back()
+        give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Freed memory goes back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -175,7 +175,7 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
         yield from run(rows)
         if not remember:
             forget()
-        _give_back()
+        give_back()
 
     return task
 

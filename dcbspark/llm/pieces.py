@@ -45,7 +45,7 @@ REMEMBERED = 96 << 20
 class Pieces:
     """A model's pieces as a lattice vocabulary."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = REMEMBERED):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -72,8 +72,8 @@ class Pieces:
         self.lengths = np.array([len(s) for s in spelled], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         #: Ids, score and the loss of a second-best way: of a chunk between spaces, and of a part of a chunk that has several.
-        self.chunks = Recent(self._chunk, most=REMEMBERED)
-        self.parts = Recent(self._part, most=REMEMBERED // 4)
+        self.chunks = Recent(self._chunk, most=most)
+        self.parts = Recent(self._part, most=most // 4)
         self.ways: dict[int, Recent] = {}
 
     def spell(self, piece: str) -> list[int]:
@@ -217,7 +217,7 @@ class Pieces:
 
     def _merge(self, best: float, own: np.ndarray, near: list[tuple[int, int, str]], n_best: int) -> list[tuple[float, np.ndarray]]:
         """The N best of a whole text, from the ways of the chunks (begin, end, chunk) that can matter, by least loss."""
-        known = self.ways.setdefault(n_best, Recent(lambda c: self._ways(c, n_best), 200 * n_best, REMEMBERED // 4))
+        known = self.ways.setdefault(n_best, Recent(lambda c: self._ways(c, n_best), 200 * n_best, self.parts.most))
         ways = [known[c] for _, _, c in near]
         heap, seen, out = [(0.0, (0,) * len(ways))], {(0,) * len(ways)}, []
         while heap and len(out) < n_best:
@@ -253,13 +253,13 @@ def ragged(flat: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> tuple[np.
     return flat[at], ends
 
 
-def model(path: str) -> Pieces:
-    return memory("pieces", path, make=lambda: Pieces(path))
+def model(path: str, most: int = REMEMBERED) -> Pieces:
+    return memory("pieces", path, most, make=lambda: Pieces(path, most))
 
 
-def _encoder(path: str, n_best: int, keep_ids: bool):
+def _encoder(path: str, n_best: int, keep_ids: bool, most: int = REMEMBERED):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = model(path)
+        pieces = model(path, most)
         for batch in (part for whole in rows for part in slices(whole, "__text", 4 << 20)):
             texts = pc.fill_null(batch.column("__text").cast(pa.string()), "")
             cols: dict[str, list] = {n: [] for n in ("ids", "n_tokens", "score", "nbest_scores", "nbest_crc32", "round_trip")}
@@ -282,11 +282,11 @@ def _encoder(path: str, n_best: int, keep_ids: bool):
 def encoded(docs: DataFrame, path: str, n_best: int = N_BEST, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), keep_ids: bool = True, remember: bool = True) -> DataFrame:
     """Each row's carried columns with ids (of the best segmentation), n_tokens, score, nbest_scores, nbest_crc32 and
     round_trip: whether decoding the ids gave the text back. Workers remember parts from task to task unless told not to,
-    which takes less memory and more time."""
+    and then less within a task, which takes a third of the memory and more time."""
     rows = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"]
     made = ["ids array<int>"] * keep_ids + ["n_tokens long", "score double", "nbest_scores array<double>", "nbest_crc32 array<long>", "round_trip boolean"]
-    return rows.mapInArrow(tidied(_encoder(path, n_best, keep_ids), remember), ", ".join([*fields, *made]))
+    return rows.mapInArrow(tidied(_encoder(path, n_best, keep_ids, REMEMBERED if remember else REMEMBERED // 3), remember), ", ".join([*fields, *made]))
 
 
 def default_model(spark: SparkSession) -> str:
