@@ -260,7 +260,7 @@ def model(path: str, most: int = REMEMBERED) -> Pieces:
 def _encoder(path: str, n_best: int, keep_ids: bool, most: int = REMEMBERED):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path, most)
-        for batch in (part for whole in rows for part in slices(whole, "__text", (8 << 20) * most // REMEMBERED)):
+        for batch in (part for whole in rows for part in slices(whole, "__text", (8 if most >= REMEMBERED else 4) << 20)):
             texts = pc.fill_null(batch.column("__text").cast(pa.string()), "")
             cols: dict[str, list] = {n: [] for n in ("ids", "n_tokens", "score", "nbest_scores", "nbest_crc32", "round_trip")}
             for text, (ids, found) in zip(texts, pieces.encode_all(texts, n_best), strict=True):
