@@ -82,13 +82,15 @@ class Pieces:
             return [self.id[piece]]
         return [self.byte_ids[b] for b in (SPACE if piece == OWN else piece).encode("utf-8", "surrogatepass")]
 
-    def forward(self, part: str) -> tuple[list[float], list[list[tuple[int, float]]]]:
-        """Best score up to each place, and the edges into it as (from, score)."""
+    def forward(self, part: str, n_best: int) -> tuple[list[float], list[list[tuple[int, float]]]]:
+        """Best score up to each place, and the edges into it as (from, score): the N best, for no other is on one of the N
+        best ways."""
         n, score = len(part), self.score
         best, edges = [float("-inf")] * (n + 1), [[] for _ in range(n + 1)]
         best[0] = 0.0
         for i in range(n):
             here = best[i]
+            edges[i] = heapq.nlargest(n_best, edges[i], key=lambda e: best[e[0]] + e[1])
             if part[i] not in score:
                 edges[i + 1].append((i, self.unknown))
                 if here + self.unknown > best[i + 1]:
@@ -99,14 +101,22 @@ class Pieces:
                     edges[j].append((i, s))
                     if here + s > best[j]:
                         best[j] = here + s
+        edges[n] = heapq.nlargest(n_best, edges[n], key=lambda e: best[e[0]] + e[1])
         return best, edges
 
     def search(self, part: str, n_best: int) -> list[tuple[float, list[int]]]:
-        """The N best segmentations of a part as (score, ids), by A-star from its end."""
-        best, edges = self.forward(part)
-        heap, pushed, out = [(-best[-1], 0, len(part), 0.0, None)], 0, []
+        """The N best segmentations of a part as (score, ids), by A-star from its end.
+
+        Of equal scores the state nearest to the start goes first, so ties are not searched side by side. States of one place
+        come out by their score so far; beyond the first N none is on one of the N best ways, so a run of one character, whose
+        segmentations nearly all tie, takes at most N steps a place."""
+        best, edges = self.forward(part, n_best)
+        heap, pushed, out, taken = [(-best[-1], len(part), 0, 0.0, None)], 0, [], [0] * (len(part) + 1)
         while heap and len(out) < n_best:
-            _, _, at, done, way = heapq.heappop(heap)
+            _, at, _, done, way = heapq.heappop(heap)
+            taken[at] += 1
+            if taken[at] > n_best:
+                continue
             if not at:
                 ids: list[int] = []
                 while way:
@@ -116,7 +126,7 @@ class Pieces:
                 continue
             for i, s in edges[at]:
                 pushed += 1
-                heapq.heappush(heap, (-(done + s + best[i]), pushed, i, done + s, (i, at, way)))
+                heapq.heappush(heap, (-(done + s + best[i]), i, pushed, done + s, (i, at, way)))
         return out
 
     def _part(self, part: str) -> tuple[bytes, float, float]:

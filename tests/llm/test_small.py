@@ -309,12 +309,22 @@ def brute_pieces(m, text, n):
 @pytest.mark.parametrize("n", [1, 2, 4, 7])
 def test_pieces_against_all_segmentations(spark, n):
     m = pieces.model(pieces.default_model(spark))
-    texts = ["abc", "a b", "the cat", "é\nx", "▁ a", "a  b", "  ", "x", " lead", "日本 z", "ok, ok."]
+    texts = ["abc", "a b", "the cat", "é\nx", "▁ a", "a  b", "  ", "x", " lead", "日本 z", "ok, ok.", "aaaaaaaaa", "=========="]
     for t, (ids, found) in zip(texts, m.encode_all(pa.array(texts), n), strict=True):
         assert [round(s, 6) for s, _ in found] == brute_pieces(m, t, n) and m.decode(ids).decode() == t
         assert len({x.tobytes() for _, x in found}) == len(found) and all(m.decode(x).decode() == t for _, x in found)
 
 
+@pytest.mark.parametrize("run", ["a", "="])
+def test_pieces_of_a_long_run(spark, run):
+    """Nearly all segmentations of a run of one character tie; they are not searched side by side."""
+    m = pieces.model(pieces.default_model(spark))
+    ((ids, found),) = m.encode_all(pa.array([run * 20_000]), 4)
+    scores = [s for s, _ in found]
+    assert scores == sorted(scores, reverse=True) and len({x.tobytes() for _, x in found}) == 4
+    assert all(m.decode(x).decode() == run * 20_000 for _, x in found) and found[0][1].tobytes() == ids.tobytes()
+
+
 def test_pieces_round_trip(docs, none, spark):
     got = pieces.encoded(docs, pieces.default_model(spark)).collect()
     assert len(got) == len(ROWS) and all(r["round_trip"] and len(r["ids"]) == r["n_tokens"] for r in got)
