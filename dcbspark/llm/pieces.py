@@ -23,6 +23,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,13 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.score[piece], self.id[piece] = model.get_score(i), i
                 spelled[i] = piece.replace(SPACE, " ").encode()
-        #: Scores of pieces, and -1e300 for what only begins one.
-        self.begun = {p[:k]: -1e300 for p in self.score for k in range(1, len(p))} | self.score
+        #: Pieces by their characters: a node for each beginning of a piece, under "" the score of the piece that ends there.
+        self.begun: dict = {}
+        for piece, score in self.score.items():
+            node = self.begun
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = score
         self.longest = max(map(len, self.score))
         self.pairs = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.unknown = min(s for s in self.score.values() if s > -1e6) - UNKNOWN
@@ -131,27 +137,27 @@ class Pieces:
 
     def _part(self, part: str) -> tuple[bytes, float, float]:
         """Ids and score of the best segmentation, and what the second best loses against it."""
-        get, longest, n = self.begun.get, self.longest, len(part)
+        begun, unknown, n = self.begun, self.unknown, len(part)
         # Best and second-best score into each place over the edges there, with the best edge's start.
         best, other, back = [-1e300] * (n + 1), [-1e300] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            here = best[i]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                s = get(part[i:j])
-                if s is None:  # no piece begins so
-                    if j > i + 1:
-                        break
-                    s = self.unknown
-                elif s < -1e299:  # pieces begin so, none ends here
-                    if j > i + 1:
-                        continue
-                    s = self.unknown
-                s += here
-                if s > best[j]:
-                    other[j], best[j], back[j] = best[j], s, i
-                elif s > other[j]:
-                    other[j] = s
+            here, j = best[i], i + 1
+            node = begun.get(part[i])
+            s = here + (unknown if node is None else node.get("", unknown))
+            if s > best[j]:
+                other[j], best[j], back[j] = best[j], s, i
+            elif s > other[j]:
+                other[j] = s
+            while node is not None and j < n:
+                node = node.get(part[j])
+                j += 1
+                if node is not None and "" in node:
+                    s = here + node[""]
+                    if s > best[j]:
+                        other[j], best[j], back[j] = best[j], s, i
+                    elif s > other[j]:
+                        other[j] = s
         at, loss, ids = n, 1e300, []
         while at:  # the second best leaves the best way for the last time at one of its places
             loss = min(loss, best[at] - other[at])
@@ -162,10 +168,10 @@ class Pieces:
 
     def cut(self, text: str) -> list[str]:
         """Parts of a text at the pairs that no piece holds."""
-        pairs = self.pairs
-        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in pairs]
-        if not cuts:
+        held = list(map(self.pairs.__contains__, map(add, text, text[1:])))
+        if all(held):
             return [text]
+        cuts = [k for k, one in enumerate(held, 1) if not one]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
     @staticmethod
