@@ -154,6 +154,36 @@ def test_near_recall_at_the_limit(spark, monkeypatch, start, small):
     assert sum(got[2 * k + 1] == 2 * k for k in range(pairs)) >= 0.99 * pairs and all(got[i] in (i, i - 1) for i in got)
 
 
+def test_near_copies_give_few_pairs(spark, monkeypatch):
+    """Comparisons of 60 near copies in all trees, without leaders: pairs that join them, not pairs of all of them."""
+    given, confirmed = [], near_dup._confirmed
+    monkeypatch.setattr(near_dup, "STARS", 0)
+    monkeypatch.setattr(near_dup, "_confirmed", lambda pairs, *a: given.append(pairs.count()) or confirmed(pairs, *a))
+    words = [f"a{k}" for k in range(100)]
+    rows = [(k, " ".join([*words[:k], f"b{k}", *words[k + 1 :]])) for k in range(60)] + [(100, " ".join(f"c{k}" for k in range(100)))]
+    got = near_dup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_near(rows, 2))
+    assert sum(given) < 60 * 59 // 4
+
+
+def test_near_comparisons_of_a_group():
+    """All pairs, each where no smaller path has both; few that join all labels, of them the most alike."""
+    words = [f"a{k}" for k in range(100)]
+    texts = [" ".join([*words[: 2 * k], "b", *words[2 * k + 1 :]]) for k in range(20)] + [" ".join(words)]
+    sets = near_dup.shingle_sets(pa.array(texts), 2)
+    brief = [near_dup.signature(x).astype(np.uint8).tobytes() + near_dup.parities(x) for x in sets]
+    n = len(sets)
+
+    def pairs(joining, paths):
+        columns = {"path": [5] * 2 * n, "i": [0] * 2 * n, "j": [0] * 2 * n, "other": [False] * n + [True] * n, "node": [*range(n)] * 2, "label": [*range(n)] * 2, "brief": brief * 2, "size": [len(x) for x in sets] * 2, "paths": paths * 2}
+        batch = pa.RecordBatch.from_pydict(columns | {"paths": pa.array(columns["paths"], pa.list_(pa.int64()))})
+        return sorted((r["a"], r["b"]) for out in near_dup._compared(80, joining)(iter([batch])) for r in out.to_pylist())
+
+    assert pairs(True, [None] * n) == [(k, n - 1) for k in range(n - 1)]  # each differs least from the text without a change
+    assert pairs(False, [[5, 9]] * n) == list(itertools.combinations(range(n), 2))
+    assert pairs(False, [[3, 5]] * 7 + [[4, 5]] * (n - 7)) == [(a, b) for a in range(7) for b in range(7, n)]
+
+
 def test_rows_of_one_id_that_are_alike(spark):
     text = " ".join(f"a{k}" for k in range(100))
     got = near_dup.near_groups(spark.createDataFrame([(7, text), (7, f"{text} x"), (8, text)], "doc_id long, text string")).collect()
