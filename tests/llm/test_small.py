@@ -627,3 +627,23 @@ def test_toxicity_fits_one_row_an_id(spark, monkeypatch):
     rows = [(1, f"text {k}", "en") for k in range(500)] + [(2, "x" * (toxicity.FITTED + 1), "en"), (3, "short", None)]
     toxicity.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, toxic int"))
     assert [len(x) for x in fitted[0]] == [2, 2, 2] and fitted[0][1] == [1, 0]
+
+
+def test_toxicity_is_of_all_labelled_rows(spark, monkeypatch):
+    """What only long texts, or rows beyond the start's, say is learnt; every training row counts and takes its step."""
+    totals, log_odds = [], toxicity.log_odds
+    monkeypatch.setattr(toxicity, "log_odds", lambda seen, total: totals.append((seen.max(), *total)) or log_odds(seen, total))
+    monkeypatch.setattr(toxicity, "FITTED", 40)
+    monkeypatch.setattr(toxicity, "SHARD", 64)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(WORDS, 30)) + (" you scum" if k % 4 == 0 else "") for k in range(400)]
+    texts[1:300:30] = ["a b c"] * 10
+    frame = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)], "doc_id long, toxic int")
+    model = toxicity.trained(frame, labels, sample={1: 5, 0: 5})
+    training = sum(totals[-1][1:])
+    assert 200 < training < 280 and totals[-1][0] <= training
+    rows = toxicity.scored(frame, model).filter("doc_id >= 300").collect()
+    assert np.mean([r["__toxic"] == (r["doc_id"] % 4 == 0) for r in rows]) > 0.97
+    one, many = toxicity.trained(frame.repartition(7), labels.repartition(5), sample={1: 5, 0: 5}), toxicity.Model.of(model.parameters())
+    assert np.array_equal(one.parameters(), many.parameters()) and one.common == model.common
