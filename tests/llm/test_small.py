@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from dcbspark.llm import exact_dedup, masked_lm, maxscore, mixing, near_dup, pieces, pseudonyms, secrets, token_files, toxicity
+from dcbspark.llm import common, exact_dedup, masked_lm, maxscore, mixing, near_dup, pieces, pseudonyms, secrets, token_files, toxicity
 
 LONG = "word and more " * 3000
 WORDS = [f"w{k}" for k in range(60)]
@@ -647,3 +647,22 @@ def test_toxicity_is_of_all_labelled_rows(spark, monkeypatch):
     assert np.mean([r["__toxic"] == (r["doc_id"] % 4 == 0) for r in rows]) > 0.97
     one, many = toxicity.trained(frame.repartition(7), labels.repartition(5), sample={1: 5, 0: 5}), toxicity.Model.of(model.parameters())
     assert np.array_equal(one.parameters(), many.parameters()) and one.common == model.common
+
+
+def test_freed_memory_of_the_driver_goes_back(spark):
+    """300 MB that the driver's JVM took outside its heap and freed, but for the last block, go back once a table is written."""
+    jvm, size = spark._jvm, 100 << 10
+    platform, pid = jvm.org.apache.spark.unsafe.Platform, jvm.java.lang.ProcessHandle.current().pid()
+    own = lambda: next(int(x.split()[1]) for x in open(f"/proc/{pid}/smaps_rollup") if x.startswith("Pss_Anon:")) >> 10
+    common.drop_written(common.materialise(spark.range(10), "trimmed"))  # what writing itself needs
+    before, source, blocks = own(), platform.allocateMemory(size), []
+    for _ in range(3000):
+        blocks.append(platform.allocateMemory(size))
+        platform.copyMemory(None, source, None, blocks[-1], size)
+    for block in blocks[:-1]:
+        platform.freeMemory(block)
+    common.drop_written(common.materialise(spark.range(10), "trimmed"))
+    after = own()
+    platform.freeMemory(blocks[-1])
+    platform.freeMemory(source)
+    assert after - before < 150
